@@ -71,23 +71,32 @@ def quorum_fast(z_ref: Column, z_row: Column, k: int) -> Column:
 def quorum_eikonal(z_ref: Column, z_row: Column, k: int, depth: int) -> Column:
     """k-of-n score with unit gradient: the least ``sum(zE*zX)/sqrt(sum(zE^2))`` over the subsets of size |L|-k+1.
 
-    The subsets depend only on how many components are legal, so all of them are literals.
+    Which subsets there are depends only on how many components are legal, so they are literals.
     """
     products, squares = _legal_products(z_ref, z_row)
+    legal = F.struct(products.alias("p"), squares.alias("q"))
 
-    def best(legal: int) -> Column:
-        picks = combinations(range(1, legal + 1), legal - k + 1)
-        scores = [
-            sum(F.element_at(products, i) for i in pick) / F.sqrt(sum(F.element_at(squares, i) for i in pick))
-            for pick in picks
-        ]
-        return F.array_min(F.array(*scores))
+    def added(values: Column, pick: Column) -> Column:
+        return F.aggregate(pick, F.lit(0.0), lambda acc, i: acc + F.element_at(values, i))
 
+    def least(pair: Column) -> Column:
+        scores = F.transform(
+            _subsets(F.size(pair["p"]), k, depth), lambda pick: added(pair["p"], pick) / F.sqrt(added(pair["q"], pick))
+        )
+        return _checked(pair["p"], k, F.array_min(scores))
+
+    # the one-element array binds the products once instead of once per subset
+    return F.element_at(F.transform(F.array(legal), least), 1)
+
+
+def _subsets(size: Column, k: int, depth: int) -> Column:
+    """All index sets of size ``size-k+1`` out of 1..size."""
     result = None
     for legal in range(k, depth + 1):
-        hit = F.size(products) == legal
-        result = F.when(hit, best(legal)) if result is None else result.when(hit, best(legal))
-    return _checked(products, k, result)
+        picks = ", ".join(f"array({', '.join(map(str, p))})" for p in combinations(range(1, legal + 1), legal - k + 1))
+        literal = F.expr(f"array({picks})")
+        result = F.when(size == legal, literal) if result is None else result.when(size == legal, literal)
+    return result
 
 
 def _legal_subsets(reference: list[float], k: int) -> tuple[list[int], int]:

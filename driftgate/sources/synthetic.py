@@ -10,9 +10,13 @@ from driftgate.operators.ordering import running_sum
 BLOCK = 8192
 
 
+def _draw_coefficients(which: int, seed: int) -> tuple[int, ...]:
+    return SketchShape(depth=which + 1, width=1, seed=seed).coefficients()[which]
+
+
 def _draw(row: Column, which: int, n: int, seed: int) -> Column:
     """Number in [0, n) fixed by the row id alone, so a retried task repeats it."""
-    coeff = SketchShape(depth=which + 1, width=1, seed=seed).coefficients()[which]
+    coeff = _draw_coefficients(which, seed)
     acc = F.lit(coeff[0]).cast("bigint")
     for c in coeff[1:4]:
         acc = (acc * (row % PRIME) + F.lit(c).cast("bigint")) % F.lit(PRIME).cast("bigint")
