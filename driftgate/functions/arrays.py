@@ -106,17 +106,27 @@ def _legal_subsets(reference: list[float], k: int) -> tuple[list[int], int]:
     return legal, len(legal) - k + 1
 
 
-def quorum_sql(reference: list[float], names: list[str], k: int, eikonal: bool = True) -> str:
-    """The same two rules for a known reference: SQL arithmetic over the row score columns ``names``."""
+def quorum_sql(reference: list[float], z: str, k: int, eikonal: bool = True) -> str:
+    """The same two rules for a known reference, as SQL over the array ``z`` of row scores.
+
+    The weights are array literals inside higher-order functions, so the generated code is the same for
+    every reference and compiled once.
+    """
     legal, m = _legal_subsets(reference, k)
+    dot = f"aggregate(zip_with(w, {z}, (a, b) -> a * b), 0.0D, (acc, p) -> acc + p)"
     if not eikonal:
-        products = ", ".join(f"{reference[i]!r}D * {names[i]}" for i in legal)
-        return f"aggregate(slice(array_sort(array({products})), 1, {m}), 0.0D, (acc, p) -> acc + p)"
-    scores = []
+        legal_only = sql_array([r if r > 0 else None for r in reference])
+        products = f"filter(zip_with({legal_only}, {z}, (a, b) -> a * b), p -> p is not null)"
+        return f"aggregate(slice(array_sort({products}), 1, {m}), 0.0D, (acc, p) -> acc + p)"
+    weights = []
     for pick in combinations(legal, m):
         length = sum(reference[i] ** 2 for i in pick) ** 0.5
-        scores.append(" + ".join(f"{reference[i] / length!r}D * {names[i]}" for i in pick))
-    return f"least({', '.join(scores)})" if len(scores) > 1 else scores[0]
+        weights.append(sql_array([reference[i] / length if i in pick else 0.0 for i in range(len(reference))]))
+    return f"array_min(transform(array({', '.join(weights)}), w -> {dot}))"
+
+
+def sql_array(values: list[float | None]) -> str:
+    return "array(" + ", ".join("cast(null as double)" if v is None else f"{float(v)!r}D" for v in values) + ")"
 
 
 def quorum_at_reference(reference: list[float], k: int, eikonal: bool = True) -> float:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+# tasks get these functions with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOLERANCE = 1e-13
 MAX_HALVINGS = 50
 

@@ -51,18 +51,14 @@ class SketchShape:
         return self.depth * self.width
 
 
-def _long(n: int) -> Column:
-    return F.lit(n).cast("bigint")
+def bucket_sql(x: str, coeff: tuple[int, ...], width: int) -> str:
+    """Pairwise independent bucket in [0, width) of the BIGINT column ``x``."""
+    return f"(({x} * {coeff[0]}L + {coeff[1]}L) % {PRIME}L) % {width}L"
 
 
-def bucket(x: Column, coeff: tuple[int, ...], width: int) -> Column:
-    """Pairwise independent bucket in [0, width)."""
-    return (x * _long(coeff[0]) + _long(coeff[1])) % _long(PRIME) % _long(width)
-
-
-def sign(x: Column, coeff: tuple[int, ...]) -> Column:
+def sign_sql(x: str, coeff: tuple[int, ...]) -> str:
     """Four-wise independent +1/-1: low bit of a cubic modulo PRIME."""
-    acc = _long(coeff[2])
+    acc = f"{coeff[2]}L"
     for c in coeff[3:6]:
-        acc = (acc * x + _long(c)) % _long(PRIME)
-    return _long(1) - _long(2) * (acc % _long(2))
+        acc = f"(({acc} * {x} + {c}L) % {PRIME}L)"
+    return f"(1L - 2L * ({acc} % 2L))"

@@ -64,18 +64,22 @@ def f2_checkpoints(ranked: DataFrame, every: int, factor: float, key: str = "x",
     """
     block = F.expr(f"(rn - 2 + {every}) div {every}")
     span = 4096
+    work = WorkArea(ranked.sparkSession, "blocks")
     cells = (
         ranked.select(block.alias("block"), key, F.col(val).cast("double").alias(val))
         .groupBy("block", key)
         .agg(F.sum(val).alias("v"))
         .withColumn("seg", F.expr(f"block div {span}"))
     )
+    # a running sum reads its input twice, so both inputs are stored aggregates
+    cells = work.save(cells, "cells")
     growth = (
         running_sum(cells, F.col("v"), "after", [key], order="block")
         .groupBy("block")
         .agg(F.sum(F.col("v") * (2 * F.col("after") - F.col("v"))).alias("growth"))
         .withColumn("seg", F.expr(f"block div {span}"))
     )
+    growth = work.save(growth, "growth")
     marks = ranked.filter((F.col("rn") - 1) % F.lit(every) == 0).select(
         F.expr(f"(rn - 1) div {every}").alias("block"), "rn", "ts_ms"
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftgate.functions import arrays
-from driftgate.functions.keys import SketchShape, bucket, sign
+from driftgate.functions.keys import SketchShape, bucket_sql, sign_sql
 from driftgate.operators import vectors
 from driftgate.operators.joins import attach
 
@@ -20,17 +20,14 @@ CELL = ("d", "w")
 
 def spread(df: DataFrame, shape: SketchShape, key: str = "x", val: str = "val") -> DataFrame:
     """Each row becomes ``depth`` signed cell contributions ``(d, w, v)``; the seeds are literals, so no join."""
-    x, weight = F.col(key).cast("bigint"), F.col(val).cast("double")
-    hits = [
-        F.struct(
-            F.lit(d).cast("bigint").alias("d"),
-            bucket(x, coeff, shape.width).alias("w"),
-            (weight * sign(x, coeff)).alias("v"),
-        )
+    x = f"cast({key} as bigint)"
+    hits = ", ".join(
+        f"named_struct('d', {d}L, 'w', {bucket_sql(x, coeff, shape.width)}, "
+        f"'v', cast({val} as double) * {sign_sql(x, coeff)})"
         for d, coeff in enumerate(shape.coefficients())
-    ]
+    )
     rest = [c for c in df.columns if c not in (key, val)]
-    return df.select(*rest, F.inline(F.array(*hits)))
+    return df.selectExpr(*rest, f"inline(array({hits}))")
 
 
 def build(
@@ -129,12 +126,8 @@ def dense(a: DataFrame, by: Sequence[str], shape: SketchShape) -> DataFrame:
 
 def dense_arrays(a: DataFrame, by: Sequence[str], shape: SketchShape) -> DataFrame:
     """One array of depth*width doubles per group; the array length bounds the group."""
-    width = F.lit(shape.width).cast("bigint")
-    packed = a.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("d") * width + F.col("w")).alias("p"), "v"))).alias("m")
-    )
-    cells = F.sequence(F.lit(0).cast("bigint"), F.lit(shape.cells - 1).cast("bigint"))
-    return packed.select(*by, F.transform(cells, lambda p: F.coalesce(F.col("m")[p], F.lit(0.0))).alias("cells"))
+    packed = dense(a, by, shape).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("cells"))
+    return packed.select(*by, F.col("cells.v").alias("cells"))
 
 
 def equal(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftgate.functions import arrays
+from driftgate.session import WorkArea
+
+# tasks get these functions with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_MS = 1 << 20
 
@@ -106,7 +112,7 @@ _START_SCHEMA = "site bigint, start bigint"
 
 
 def _chunk_map(slide: int, width: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         t = np.sort(pdf["ts_ms"].to_numpy())
         n = len(t)
         succ = np.searchsorted(t, t + slide)
@@ -126,7 +132,7 @@ def _chunk_map(slide: int, width: int):
     return run
 
 
-def _chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _chain(key, pdf):
     threshold = int(pdf["carry"].iloc[0])
     chunks, enters = [], []
     for chunk, part in pdf.sort_values(["chunk", "upto"]).groupby("chunk", sort=True):
@@ -139,7 +145,7 @@ def _chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _starts_in_chunk(slide: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         t = np.sort(pdf["ts_ms"].to_numpy())
         starts, i = [], np.searchsorted(t, pdf["enter"].iloc[0])
         while i < len(t):
@@ -198,7 +204,8 @@ def retract_anchored(events: DataFrame, size_ms: int, slide_ms: int) -> DataFram
     A slide is released at the next slide's start and withdrawn by the clean-up of the first slide that
     starts more than one slide later; the last slide stays unreleased. ``at`` is the time of emission.
     """
-    starts = anchored_starts(events, slide_ms)
+    # one row per slide and site, read three times below
+    starts = WorkArea(events.sparkSession, "slides").save(anchored_starts(events, slide_ms), "starts")
     by_site = Window.partitionBy("site").orderBy("start")
     following, second = F.lead("start").over(by_site), F.lead("start", 2).over(by_site)
     withdrawn_by = F.when(following > F.col("start") + slide_ms, following).otherwise(second)

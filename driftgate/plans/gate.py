@@ -96,18 +96,17 @@ class Gate:
         self.spec, self.config, self.work = spec, config, work
         self.state = state or GateState()
         self.log = Log()
+        self.scalars = 0
         self._estimate: DataFrame | None = None
 
     # -- tables
 
     def _range(self, deltas: DataFrame, after: int | None, upto: int) -> DataFrame:
-        within = F.col("slot") <= upto
-        if after is not None:
-            within &= F.col("slot") > after
-        if "block" in deltas.columns:
-            blocks = F.col("block") <= upto // BLOCK_SLOTS
-            within &= blocks if after is None else blocks & (F.col("block") >= after // BLOCK_SLOTS)
-        return deltas.filter(within).select("site", "slot", *self.spec.keys, *self.spec.values)
+        within = [f"slot <= {upto}"] + ([] if after is None else [f"slot > {after}"])
+        if "block" in deltas.columns:  # prunes files
+            within += [f"block <= {upto // BLOCK_SLOTS}"]
+            within += [] if after is None else [f"block >= {after // BLOCK_SLOTS}"]
+        return deltas.filter(" and ".join(within)).select("site", "slot", *self.spec.keys, *self.spec.values)
 
     def estimate(self) -> DataFrame:
         if self._estimate is None:
@@ -251,6 +250,7 @@ class Gate:
             ).filter(F.col("slot") > st.pos)
             # at most k scalars per slot of the range
             rows = sorted(series.collect(), key=lambda r: (r["slot"], r["site"]))
+            self.scalars += len(rows)
             over = self._walk(iter(rows))
             if over is None:
                 st.pos = hi
@@ -295,6 +295,8 @@ class MonitorResult:
     site_log: DataFrame
     throughput: DataFrame
     state: GateState
+    cells: int  # slot deltas held as a table
+    scalars: int  # numbers that reached the driver
 
 
 def throughput(slotted: DataFrame, slide_ms: int) -> DataFrame:
@@ -332,7 +334,7 @@ def monitor(
     n_slots = slots_per_window(window_ms, slide_ms) if window_ms else None
     deltas = slot_deltas(spec, slotted, n_slots).withColumn("block", F.expr(f"floor(slot / {BLOCK_SLOTS})"))
     stored = work.save(deltas.hint("rebalance", "block"), "deltas", partition_by="block")
-    last = stored.agg(F.max("slot")).first()[0]
+    last, cells = stored.agg(F.max("slot"), F.count(F.lit(1))).first()
     gate = Gate(spec, GateConfig(k, slide_ms, warmup_ms, mqf, rebalance, lookahead), work)
     if last is not None:
         gate.advance(stored, last - (n_slots or 0))  # withdrawals after the last event are not walked
@@ -345,4 +347,6 @@ def monitor(
         spark.createDataFrame(gate.log.site, SITE_SCHEMA),
         throughput(slotted, slide_ms),
         gate.state,
+        cells,
+        gate.scalars,
     )

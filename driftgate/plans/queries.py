@@ -99,10 +99,15 @@ def _exact_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def _sketch_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     daily = _daily(spark, folder)
-    estimate = vectors.mean(sketch.build(_before(daily), ("site",), SHAPE), SITES, keys=sketch.CELL)
+    estimate = _published(vectors.mean(sketch.build(_before(daily), ("site",), SHAPE), SITES, keys=sketch.CELL))
     return sketch.build(_after(daily), ("site", "slot"), SHAPE), estimate
 
 
+def _published(estimate: DataFrame) -> DataFrame:
+    """An estimate is read by its zone and by every score, so it is a stored table as in the gate."""
+    return WorkArea(estimate.sparkSession, "estimate").save(estimate, "cells")
+
+
 def _r(column: str | Column, name: str | None = None) -> Column:
     """Rounded for comparison, without negative zero."""
     col = F.col(column) if isinstance(column, str) else column
@@ -450,7 +455,7 @@ def zone_join(spark, folder):
     """Clicks joined with purchases on the user."""
     daily = _daily(spark, folder).withColumn("x", F.col("a"))
     clicks, purchases = daily.filter("b = 1"), daily.filter("b = 2")
-    mean = lambda df: vectors.mean(sketch.build(_before(df), ("site",), SHAPE), SITES, keys=sketch.CELL)
+    mean = lambda df: _published(vectors.mean(sketch.build(_before(df), ("site",), SHAPE), SITES, keys=sketch.CELL))
     drift = lambda df: sketch.build(_after(df), ("site", "slot"), SHAPE)
     scored = zones.zone_join(
         drift(clicks), drift(purchases), mean(clicks), mean(purchases), EPS, ("site", "slot"), SHAPE

@@ -49,7 +49,7 @@ class MonitorSpec:
         raise NotImplementedError
 
     def score(self, sums: DataFrame, zone: Zone) -> DataFrame:
-        """Running drift sums ``(site, slot, grown_*, along_*)`` to ``(site, slot, phi)``."""
+        """Running drift sums ``(site, slot, rows, grown_*, along_*)`` to ``(site, slot, phi)``."""
         raise NotImplementedError
 
     # -- linear algebra, shared by all linear vectors
@@ -81,15 +81,13 @@ class MonitorSpec:
         joined = joined.fillna(0.0, [f"e_{v}" for v in self.values]).withColumns(
             {f"after_{v}": F.sum(v).over(history) for v in self.values}
         )
-        sums = {}
-        for v in self.values:
-            for d in range(self.depth):
-                pick = f" filter (where {self.rows[0]} = {d})" if self.rows else ""
-                sums[f"grown_{v}_{d}"] = f"sum({v} * (2 * (e_{v} + after_{v}) - {v})){pick}"
-                sums[f"along_{v}_{d}"] = f"sum({v} * e_{v}){pick}"
-        changes = joined.groupBy("site", "slot").agg(*[F.expr(e).alias(n) for n, e in sums.items()])
-        by_site = "over (partition by site order by slot rows between unbounded preceding and current row)"
-        running = changes.selectExpr("site", "slot", *[f"sum({n}) {by_site} as {n}" for n in sums])
+        sums = [F.expr(f"sum({v} * (2 * (e_{v} + after_{v}) - {v}))").alias(f"grown_{v}") for v in self.values]
+        sums += [F.expr(f"sum({v} * e_{v})").alias(f"along_{v}") for v in self.values]
+        changes = joined.groupBy("site", "slot", *self.rows).agg(*sums)
+        parts = ", ".join(("site", *self.rows))
+        up_to_here = f"over (partition by {parts} order by slot rows between unbounded preceding and current row)"
+        names = [c for c in changes.columns if c.startswith(("grown_", "along_"))]
+        running = changes.selectExpr("site", "slot", *self.rows, *[f"sum({n}) {up_to_here} as {n}" for n in names])
         scored = self.score(running, zone)
         return scored.withColumn("phi", F.col("phi") * F.lit(lam)) if lam != 1.0 else scored
 
@@ -114,7 +112,7 @@ class ExactF2(MonitorSpec):
         return self.eps * zone["norm"]
 
     def score(self, sums: DataFrame, zone: Zone) -> DataFrame:
-        phi = cap_score(F.lit(zone["norm"]), F.col("grown_v_0"), F.col("along_v_0"), self.eps)
+        phi = cap_score(F.lit(zone["norm"]), F.col("grown_v"), F.col("along_v"), self.eps)
         return sums.select("site", "slot", phi.alias("phi"))
 
 
@@ -166,17 +164,21 @@ class SketchF2(MonitorSpec):
         return min(arrays.quorum_at_reference(zone[s], k, self.eikonal) for s in self._sides(zone))
 
     def score(self, sums: DataFrame, zone: Zone) -> DataFrame:
-        z = {}
-        for d, n in enumerate(zone["norm"]):
-            z[f"ref_upper_{d}"] = f"{zone['high']!r}D - sqrt(greatest({n * n!r}D + grown_v_{d}, 0.0D))"
-            along = f"{n!r}D + along_v_{d} / {n!r}D" if n > 0 else "0.0D"
-            z[f"ref_lower_{d}"] = f"{along} - {zone['low']!r}D"
-        rows = sums.selectExpr("site", "slot", *[f"{e} as {n}" for n, e in z.items()])
+        # one entry per sketch row
+        by_row = F.expr("array_sort(collect_list(struct(d, grown_v, along_v)))")
+        packed = sums.groupBy("site", "slot").agg(by_row.alias("m"))
+        norms = arrays.sql_array(zone["norm"])
+        high, low = (arrays.sql_array([zone[side]] * self.depth) for side in ("high", "low"))
+        length = f"zip_with(m, {norms}, (s, n) -> sqrt(greatest(n * n + s.grown_v, 0.0D)))"
+        along = f"zip_with(m, {norms}, (s, n) -> if(n > 0, n + s.along_v / n, 0.0D))"
+        rows = packed.selectExpr(
+            "site",
+            "slot",
+            f"zip_with({high}, {length}, (t, n) -> t - n) as ref_upper",
+            f"zip_with({along}, {low}, (n, t) -> n - t) as ref_lower",
+        )
         k = arrays.majority(self.depth)
-        sides = [
-            arrays.quorum_sql(zone[s], [f"{s}_{d}" for d in range(self.depth)], k, self.eikonal)
-            for s in self._sides(zone)
-        ]
+        sides = [arrays.quorum_sql(zone[s], s, k, self.eikonal) for s in self._sides(zone)]
         phi = f"least({', '.join(sides)})" if len(sides) > 1 else sides[0]
         return rows.selectExpr("site", "slot", f"{phi} as phi")
 
@@ -233,27 +235,20 @@ class SketchJoin(MonitorSpec):
         return min(arrays.quorum_at_reference(zone[s], k, self.eikonal) for s in ("ref_lower", "ref_upper"))
 
     def score(self, sums: DataFrame, zone: Zone) -> DataFrame:
-        per_row = [
-            f"named_struct('d', {d}, 'nx', {zone['nx'][d]!r}D, 'ny', {zone['ny'][d]!r}D,"
-            f" 'grown_x', grown_x_{d}, 'along_x', along_x_{d}, 'grown_y', grown_y_{d}, 'along_y', along_y_{d})"
-            for d in range(self.depth)
-        ]
-        rows = sums.selectExpr("site", "slot", f"inline(array({', '.join(per_row)}))")
-        rows = rows.withColumns({"t_low": F.lit(zone["t_low"]), "t_high": F.lit(zone["t_high"])})
-        scored = join_row_scores(rows)
-        wide = scored.groupBy("site", "slot").agg(
-            *[
-                F.expr(f"max(z_{side}) filter (where d = {d})").alias(f"{side}_{d}")
-                for side in ("lower", "upper")
-                for d in range(self.depth)
-            ]
+        rows = sums.selectExpr(
+            "*",
+            f"{arrays.sql_array(zone['nx'])}[cast(d as int)] as nx",
+            f"{arrays.sql_array(zone['ny'])}[cast(d as int)] as ny",
+            f"{zone['t_low']!r}D as t_low",
+            f"{zone['t_high']!r}D as t_high",
+        )
+        packed = join_row_scores(rows).groupBy("site", "slot").agg(
+            arrays.by_row(F.col("d"), F.col("z_lower")).alias("lower"),
+            arrays.by_row(F.col("d"), F.col("z_upper")).alias("upper"),
         )
         k = arrays.majority(self.depth)
-        sides = [
-            arrays.quorum_sql(zone[f"ref_{s}"], [f"{s}_{d}" for d in range(self.depth)], k, self.eikonal)
-            for s in ("lower", "upper")
-        ]
-        return wide.selectExpr("site", "slot", f"least({', '.join(sides)}) as phi")
+        sides = [arrays.quorum_sql(zone[f"ref_{s}"], s, k, self.eikonal) for s in ("lower", "upper")]
+        return packed.selectExpr("site", "slot", f"least({', '.join(sides)}) as phi")
 
 
 def named_spec(query: str | MonitorSpec, eps: float, shape: SketchShape | None = None) -> MonitorSpec:
