@@ -13,17 +13,21 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from driftgate.operators.windows import retract, slots_per_window, with_slot
+from driftgate.operators.windows import slots_per_window, with_slot
 from driftgate.plans.spec import MonitorSpec, Zone, named_spec
 from driftgate.session import WorkArea
 
 LAMBDA = 0.5
 BLOCK_SLOTS = 256
+SCALARS_PER_JOB = 1_000_000
+LOG_ROWS_HELD = 200_000
 
 ESTIMATE_SCHEMA = "round bigint, ts bigint, estimate double"
 CENTRE_SCHEMA = "seq bigint, realTS bigint, eventTS bigint, metricType string"
 SITE_SCHEMA = "seq bigint, realTS bigint, eventTS bigint, nodeID bigint, eventType string"
+LOG_SCHEMAS = {"centre": CENTRE_SCHEMA, "site": SITE_SCHEMA}
 
 
 @dataclass(frozen=True)
@@ -97,7 +101,9 @@ class Gate:
         self.state = state or GateState()
         self.log = Log()
         self.scalars = 0
+        self.spilled = 0
         self._estimate: DataFrame | None = None
+        self._drift: str | None = None  # table of the open round's drift up to pos, once the round is long
 
     # -- tables
 
@@ -113,6 +119,41 @@ class Gate:
             self._estimate = self.work.load(f"estimate-{self.state.round}")
         return self._estimate
 
+    def _open_drift(self, deltas: DataFrame, upto: int) -> DataFrame:
+        """Changes since the sites last started from zero; a folded part sits at the last walked slot."""
+        if self._drift is None:
+            return self._range(deltas, self.state.drift_from, upto)
+        return self.work.load(self._drift).unionByName(self._range(deltas, self.state.pos, upto))
+
+    def _fold(self, deltas: DataFrame, upto: int) -> None:
+        """Sum a long round's changes per cell, so that the next job does not read them again."""
+        at = F.lit(upto).cast("bigint")
+        folded = self.spec.collect_cells(self._open_drift(deltas, upto).withColumn("slot", at), ("site", "slot"))
+        name = f"drift-{self.state.round}-{upto}"
+        self.work.save(folded, name)
+        self._forget_drift()
+        self._drift = name
+
+    def _forget_drift(self) -> None:
+        if self._drift is not None:
+            self.work.drop(self._drift)
+            self._drift = None
+
+    def _spill(self) -> None:
+        """Move a long log out of the driver."""
+        if len(self.log.centre) + len(self.log.site) > LOG_ROWS_HELD:
+            for name, rows in (("centre", self.log.centre), ("site", self.log.site)):
+                self.work.save(self.work.spark.createDataFrame(rows, LOG_SCHEMAS[name]), f"{name}/part={self.spilled}")
+                rows.clear()
+            self.spilled += 1
+
+    def log_table(self, name: str) -> DataFrame:
+        rest = self.work.spark.createDataFrame(getattr(self.log, name), LOG_SCHEMAS[name])
+        if not self.spilled:
+            return rest
+        stored = self.work.load(name, StructType.fromDDL(f"{LOG_SCHEMAS[name]}, part bigint")).drop("part")
+        return stored.unionByName(rest)
+
     # -- rounds
 
     def _close(self, deltas: DataFrame, slot: int) -> None:
@@ -235,7 +276,8 @@ class Gate:
             st.pos = max(st.pos, st.until_warm)
         if st.round == 0:
             return st
-        reach = st.span or cfg.lookahead
+        most = max(SCALARS_PER_JOB // cfg.k, 1)
+        reach = min(st.span or cfg.lookahead, most)
         while st.pos < last:
             if st.zone is None:  # an empty vector has no zone: publish again with the next data
                 nxt = self._range(deltas, st.pos, last).agg(F.min("slot")).first()[0]
@@ -246,23 +288,28 @@ class Gate:
                 continue
             hi = min(st.pos + reach, last)
             series = self.spec.phi_series(
-                self._range(deltas, st.drift_from, hi), self.estimate(), st.zone, st.lam
+                self._open_drift(deltas, hi), self.estimate(), st.zone, st.lam
             ).filter(F.col("slot") > st.pos)
-            # at most k scalars per slot of the range
+            # at most k scalars per slot, SCALARS_PER_JOB in all
             rows = sorted(series.collect(), key=lambda r: (r["slot"], r["site"]))
             self.scalars += len(rows)
             over = self._walk(iter(rows))
             if over is None:
+                if 2 * reach > most and hi < last:
+                    self._fold(deltas, hi)
                 st.pos = hi
-                reach *= 2
+                reach = min(2 * reach, most)
                 continue
             length = over - st.drift_from
             st.pos = over
+            self._forget_drift()
             if cfg.rebalance and st.lam == 1.0 and self._rebalance(deltas, over):
                 pass
             else:
                 self._close(deltas, over)
-            reach = st.span = max(2 * length, 8)
+            reach = st.span = min(max(2 * length, 8), most)
+            self._spill()
+        self._forget_drift()
         return st
 
 
@@ -276,16 +323,10 @@ def slot_deltas(spec: MonitorSpec, slotted: DataFrame, n_slots: int | None = Non
 
 def withdrawals(spec: MonitorSpec, deltas: DataFrame, n_slots: int, keep: bool = False) -> DataFrame:
     """Slot totals leaving the window ``n_slots`` later, with or without the totals themselves."""
-    packed = deltas.select("site", "slot", *spec.keys, F.struct(*spec.values).alias("v"))
-    left = packed.select(
-        "site",
-        (F.col("slot") + n_slots).alias("slot"),
-        *spec.keys,
-        *[(-F.col("v")[c]).alias(c) for c in spec.values],
-    )
-    if not keep:
-        return left
-    return deltas.select("site", "slot", *spec.keys, *spec.values).unionByName(left)
+    kept = F.struct("slot", *spec.values)
+    gone = F.struct((F.col("slot") + n_slots).alias("slot"), *[(-F.col(v)).alias(v) for v in spec.values])
+    copies = F.array(kept, gone) if keep else F.array(gone)
+    return deltas.select("site", *spec.keys, F.inline(copies)).select("site", "slot", *spec.keys, *spec.values)
 
 
 @dataclass
@@ -343,8 +384,8 @@ def monitor(
     answers = [(r, ts, q * k * k if total else q) for r, ts, q in gate.log.estimates]
     return MonitorResult(
         spark.createDataFrame(answers, ESTIMATE_SCHEMA),
-        spark.createDataFrame(gate.log.centre, CENTRE_SCHEMA),
-        spark.createDataFrame(gate.log.site, SITE_SCHEMA),
+        gate.log_table("centre"),
+        gate.log_table("site"),
         throughput(slotted, slide_ms),
         gate.state,
         cells,

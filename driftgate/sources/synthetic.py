@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftgate.functions.keys import PRIME, SketchShape
 from driftgate.operators.ordering import running_sum
 
-BLOCK = 8192
+BLOCK = 1 << 20
 
 
 def _draw_coefficients(which: int, seed: int) -> tuple[int, ...]:
@@ -32,6 +32,7 @@ def synthetic_events(
     gap: int = 5,
     sites: int = 10,
     seed: int = 512,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One event per row of ``ids (id)`` with ids 0, 1, 2, ...; rows beyond ``records`` ticks are left out."""
     row = F.col("id").cast("bigint")
@@ -40,7 +41,7 @@ def synthetic_events(
         _draw(row, 0, sites, seed).alias("site"),
         _draw(row, 1, key_range, seed).alias("a"),
         (_draw(row, 2, gap, seed) + 1).alias("step"),
-        F.expr(f"id div {BLOCK}").alias("seg"),
+        F.expr(f"id div {block}").alias("seg"),
     )
     timed = running_sum(drawn, F.col("step"), "reached", order="id").withColumn("tick", F.col("reached") - F.col("step"))
     tick_ms = 1000 // records_per_sec

@@ -54,6 +54,22 @@ def test_exact_run_equals_plain_walk(events, rows, eps, rebalance):
     assert kinds["ROUND"] == len(expected) and kinds["SUBROUND"] == subrounds
 
 
+def test_long_rounds_and_logs_leave_the_driver(events, rows, monkeypatch):
+    """With room for four slots per job and few log rows, drifts are folded and logs spilled; nothing changes."""
+    from driftgate.plans import gate
+
+    deltas = exact_deltas(rows)
+    expected, subrounds = walk(Cap(0.5), deltas, K, 2, max(deltas), rebalance=True)
+    monkeypatch.setattr(gate, "SCALARS_PER_JOB", 4 * K)
+    monkeypatch.setattr(gate, "LOG_ROWS_HELD", 10)
+    result = monitor(events, K, SLIDE, 0.5, "exact", warmup_ms=3000, rebalance=True)
+    assert [g[:2] for g in outcome(result)] == [e[:2] for e in expected]
+    assert result.centre_log.filter("metricType = 'SUBROUND'").count() == subrounds
+    assert result.site_log.select("seq").unionByName(result.centre_log.select("seq")).distinct().count() == (
+        result.site_log.count() + result.centre_log.count()
+    )
+
+
 def test_windowed_run_equals_plain_walk(events, rows):
     last = max(t for _, t, *_ in rows) // SLIDE
     expected, _ = walk(Cap(0.2), exact_deltas(rows, 8), K, 2, last)

@@ -51,7 +51,7 @@ def test_lines_round_trip(spark):
 
 
 def test_synthetic_events(spark):
-    df = synthetic.generate(spark, 20_000, start_ms=1000, records=30_000, records_per_sec=10, key_range=50, gap=5, sites=8)
+    df = synthetic.generate(spark, 20_000, start_ms=1000, records=30_000, records_per_sec=10, key_range=50, gap=5, sites=8, block=1000)
     stats = df.agg(F.max("a"), F.min("a"), F.max("site"), F.count_distinct("site"), F.min("ts_ms"), F.max("ts_ms")).first()
     assert list(stats)[:5] == [49, 0, 7, 8, 1000] and stats[5] <= 1000 + 30_000 * 100
     times = [r["ts_ms"] for r in df.orderBy("id").collect()]

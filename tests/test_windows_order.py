@@ -120,3 +120,29 @@ def test_f2_checkpoints(spark):
         _, n = np.unique(xs[:rn], return_counts=True)
         expected[rn] = float((n * n).sum()) / 4
     assert got == expected
+
+
+def test_anchored_stream_equals_batch(spark, tmp_path):
+    from driftgate.streaming.windows import AnchoredWindow
+
+    times = sorted(random_times(9, 150, 60_000))
+    df = events(spark, {0: times, 1: times[::3]})
+    run = AnchoredWindow(spark, str(tmp_path / "root"), 5_000, 1_000)
+    for i, part in enumerate(("ts_ms < 15000", "ts_ms >= 15000 and ts_ms < 15500", "ts_ms >= 15500")):
+        run.process(df.filter(part), i)
+        run.process(df.filter(part), i)  # a repeated batch is ignored
+    columns = ("site", "ts_ms", "x", "val", "at")
+    expected = windows.retract_anchored(df, 5_000, 1_000).select(*columns).collect()
+    assert sorted(run.output().select(*columns).collect()) == sorted(expected)
+
+
+def test_late_event_joins_the_current_slide(spark, tmp_path):
+    from driftgate.streaming.windows import AnchoredWindow
+
+    run = AnchoredWindow(spark, str(tmp_path / "root"), 5_000, 1_000)
+    for i, times in enumerate(([100, 3000], [200], [4100])):
+        run.process(events(spark, {0: times}), i)
+    got = sorted((r["ts_ms"], r["val"], r["at"]) for r in run.output().collect())
+    first = [(100, -1.0, 7000), (100, 1.0, 3000)]
+    second = [(3000, -2.0, 8100), (3000, -1.0, 8100), (3000, 1.0, 4100), (3000, 2.0, 4100)]
+    assert got == first + second
