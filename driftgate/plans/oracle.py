@@ -546,6 +546,54 @@ def _log_lines() -> str:
     return _with(EV) + "SELECT site, (ts_ms // 1000) * 1000 AS ts_ms, a, b, x, val FROM ev"
 
 
+def _monitor_join(eps: float) -> str:
+    """Clicks joined with purchases on the user; the vector holds the polarised sketches x and y."""
+    root, e = "sqrt(CAST(0.5 AS DOUBLE))", _dbl(eps)
+    parts = [EV.replace("ev AS (", "ev0 AS ("), "ev AS (SELECT site, slot, b, a AS x, val FROM ev0)", SEEDS]
+    parts += [cells(f"d{b}", "ev", "site, slot", where=f"b = {b}") for b in (1, 2)]
+    parts += [
+        """delta AS (SELECT site, slot, d, w, sum(x) AS x, sum(y) AS y FROM (
+  SELECT site, slot, d, w, v AS x, v AS y FROM d1 UNION ALL SELECT site, slot, d, w, v, -v FROM d2) GROUP BY ALL)""",
+        f"warm AS (SELECT min(slot) + {WARM_DAYS - 1} AS warm, max(slot) AS top FROM ev WHERE b IN (1, 2))",
+        "slots AS (SELECT unnest(range(warm, top + 1)) AS s FROM warm)",
+        "keys AS (SELECT DISTINCT d, w FROM delta)",
+        f"""cum AS (SELECT k.s, k.site, k.d, k.w, coalesce(sum(x), 0) AS x, coalesce(sum(y), 0) AS y
+  FROM (SELECT s, site, d, w FROM slots, range({SITES}) q(site), keys) AS k
+  LEFT JOIN delta ON delta.site = k.site AND delta.slot <= k.s AND delta.d = k.d AND delta.w = k.w GROUP BY ALL)""",
+        f"est AS (SELECT s AS r, d, w, sum(x) / {SITES} AS x, sum(y) / {SITES} AS y FROM cum GROUP BY ALL)",
+        "en AS (SELECT r, d, sqrt(sum(x * x)) AS nx, sqrt(sum(y * y)) AS ny, (sum(x * x) - sum(y * y)) / 4 AS p FROM est GROUP BY ALL)",
+        "f AS (SELECT r, list_sort(list(p))[len(list(p)) // 2 + 1] AS f2 FROM en GROUP BY r)",
+        f"zt AS (SELECT r, 4 * (f2 - {e} * abs(f2)) AS tl, -4 * (f2 + {e} * abs(f2)) AS th FROM f)",
+        """sums AS (SELECT a.s AS r, c.s AS s, c.site, c.d, sum((e.x + c.x - p.x) * e.x) AS dx, sum((e.y + c.y - p.y) * e.y) AS dy,
+    sqrt(sum((e.x + c.x - p.x) ** 2)) AS lx, sqrt(sum((e.y + c.y - p.y) ** 2)) AS ly
+  FROM slots a JOIN cum c ON c.s > a.s JOIN cum p ON p.s = a.s AND p.site = c.site AND p.d = c.d AND p.w = c.w
+  JOIN est e ON e.r = a.s AND e.d = c.d AND e.w = c.w GROUP BY ALL)""",
+        """points AS (
+  SELECT {'k': 'l', 'r': r, 's': s, 'site': site, 'd': d} AS id, nx AS xi, ny AS psi, tl AS t, dx / nx AS x, ly AS y FROM sums JOIN en USING (r, d) JOIN zt USING (r)
+  UNION ALL SELECT {'k': 'u', 'r': r, 's': s, 'site': site, 'd': d}, ny, nx, th, dy / ny, lx FROM sums JOIN en USING (r, d) JOIN zt USING (r)
+  UNION ALL SELECT {'k': 'L', 'r': r, 's': 0, 'site': 0, 'd': d}, nx, ny, tl, nx, ny FROM en JOIN zt USING (r)
+  UNION ALL SELECT {'k': 'U', 'r': r, 's': 0, 'site': 0, 'd': d}, ny, nx, th, ny, nx FROM en JOIN zt USING (r))""",
+        *hyperbola_ctes("points", "h"),
+        f"hs AS MATERIALIZED (SELECT id.k AS k, id.r AS r, id.s AS s, id.site AS site, id.d AS d, score * {root} AS score FROM h)",
+    ]
+    for side, name in (("l", "lo"), ("u", "up")):
+        parts += [
+            f"ref{name} AS (SELECT r, d, score AS ref, score AS z FROM hs WHERE k = '{side.upper()}')",
+            f"{name} AS (SELECT hs.r, hs.s, hs.site, hs.d, ref, hs.score AS z FROM hs JOIN ref{name} q ON q.r = hs.r AND q.d = hs.d WHERE k = '{side}')",
+            *quorum_ctes(f"ref{name}", "r", f"z0{name}", QUORUM, D),
+            *quorum_ctes(name, "r, s, site", f"ph{name}", QUORUM, D),
+        ]
+    parts += [
+        "start AS (SELECT r, f2, least(z0lo.score, z0up.score) AS phi0 FROM f JOIN z0lo USING (r) JOIN z0up USING (r))",
+        "ph1 AS (SELECT r, s, site, least(phlo.score, phup.score) AS phi FROM phlo JOIN phup USING (r, s, site))",
+        "ph AS (SELECT r, r AS b, s, list(phi ORDER BY site) AS phis FROM ph1 GROUP BY ALL)",
+    ]
+    return _walk(parts, False) + (
+        f"SELECT CAST(rnd AS BIGINT) AS round, CAST(s * {DAY} AS BIGINT) AS ts, {_r('start.f2', 'estimate')} "
+        "FROM walk JOIN start ON start.r = walk.s WHERE emitted"
+    )
+
+
 def _monitor_log() -> str:
     """Messages per kind, derived from what happened in every slot of the walk."""
     k = SITES
@@ -663,6 +711,7 @@ WHERE (slot + 1) * {DAY} <= (SELECT max(ts_ms) FROM ev) - {6 * HOUR} GROUP BY si
         "monitor_f2": _monitor("f2"),
         "monitor_f2_rebalance": _monitor("f2", rebalance=True),
         "monitor_f2_window": _monitor("f2", window_days=10),
+        "monitor_join": _monitor_join(0.5),
         "monitor_log": _monitor_log(),
         "monitor_throughput": ev
         + f"""SELECT slot * {DAY} AS "eventTS", site AS "nodeID", CAST(sum(count(*)) OVER (PARTITION BY site ORDER BY slot) AS BIGINT) AS events

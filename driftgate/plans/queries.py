@@ -14,7 +14,7 @@ from driftgate.functions import arrays
 from driftgate.functions.hyperbola import hyperbola_score
 from driftgate.functions.keys import PRIME, SketchShape, pair_key, site_of
 from driftgate.operators import counters, logs, ordering, profiles, sketch, vectors, windows, zones
-from driftgate.plans.gate import monitor, slot_deltas
+from driftgate.plans.gate import monitor, slot_deltas, throughput
 from driftgate.plans.spec import SketchF2
 from driftgate.session import WorkArea
 from driftgate.sources import access_log, synthetic
@@ -627,8 +627,6 @@ def monitor_log(spark, folder):
 @query
 def monitor_throughput(spark, folder):
     """Cumulative records per site and day."""
-    from driftgate.plans.gate import throughput
-
     return throughput(windows.with_slot(events(spark, folder), DAY), DAY)
 
 

@@ -61,6 +61,11 @@ def test_synthetic_events(spark):
     assert again.agg(F.sum("ts_ms")).first() == df.agg(F.sum("ts_ms")).first()
 
 
+def test_synthetic_stream_schema(spark):
+    df = synthetic.stream(spark)
+    assert df.isStreaming and df.columns == ["site", "ts", "ts_ms", "a", "b", "val"]
+
+
 def test_sinks(spark, tmp_path):
     data = [(i % 2, i * 100, i % 5, 1.0) for i in range(100)]
     result = monitor(spark.createDataFrame(data, "site bigint, ts_ms bigint, x bigint, val double"), 2, 1000, 0.3, "exact", warmup_ms=1000)
