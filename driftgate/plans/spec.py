@@ -87,7 +87,8 @@ class MonitorSpec:
         parts = ", ".join(("site", *self.rows))
         up_to_here = f"over (partition by {parts} order by slot rows between unbounded preceding and current row)"
         names = [c for c in changes.columns if c.startswith(("grown_", "along_"))]
-        running = changes.selectExpr("site", "slot", *self.rows, *[f"sum({n}) {up_to_here} as {n}" for n in names])
+        # at most one row per slot and sketch row of a site; this partitioning also serves the scoring
+        running = changes.repartition("site").selectExpr("site", "slot", *self.rows, *[f"sum({n}) {up_to_here} as {n}" for n in names])
         scored = self.score(running, zone)
         return scored.withColumn("phi", F.col("phi") * F.lit(lam)) if lam != 1.0 else scored
 
