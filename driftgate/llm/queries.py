@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, mixture
+from driftgate.llm import chat, mixture, ordinal, pii, urls
 from driftgate.session import WorkArea
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,23 @@ FROM p GROUP BY conv_id, speaker, part
 """
 
 
+@query
+def op4_url_filter(spark, folder):
+    return urls.judge(_table(spark, folder, "pages"))
+
+
+@query
+def op5_quality(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = ordinal.train(docs, _table(spark, folder, "labels"))
+    return ordinal.score(docs.select("doc_id", "text"), model).drop("text")
+
+
+@query
+def op6_personal_data(spark, folder):
+    return pii.annotate(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 @query
 def op8_mixture(spark, folder):
     docs = _table(spark, folder, "documents")

@@ -19,6 +19,9 @@ SLICE_BYTES = 2 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Also cuts words at ASCII signs.
+SIGNS = _SEPARATOR.copy()
+SIGNS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -88,11 +91,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of every word; words never run over the end of a text."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~_SEPARATOR[data]
+    word = ~separator[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     begins, ends = word.copy(), word.copy()
@@ -101,8 +104,14 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True, block: int = SLICE_BYTES) -> Words:
-    begin, end = spans(data, offsets)
+def words(
+    data: np.ndarray,
+    offsets: np.ndarray,
+    hashed: bool = True,
+    separator: np.ndarray = _SEPARATOR,
+    block: int = SLICE_BYTES,
+) -> Words:
+    begin, end = spans(data, offsets, separator)
     first = np.searchsorted(begin, offsets)
     if not hashed:
         return Words(begin, end, first, None)
