@@ -275,7 +275,7 @@ def annotate(docs: DataFrame, masked: bool = False) -> DataFrame:
     place = kept.columns.index("text")
     schema = StructType(list(kept.schema))
     for n in added:
-        schema = schema.add(n, "bigint" if n.startswith("n_") else "string")
+        schema = schema.add(n, "long" if n.startswith("n_") else "string")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
