@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, mixture, ordinal, pii, urls
+from driftgate.llm import chat, mixture, ordinal, pii, tokens, urls
 from driftgate.session import WorkArea
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,14 @@ FROM p GROUP BY conv_id, speaker, part
 """
 
 
+@query
+def op2_token_counts(spark, folder):
+    import public_tokenizers
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 @query
 def op4_url_filter(spark, folder):
     return urls.judge(_table(spark, folder, "pages"))
