@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, mixture, ordinal, pii, tokens, urls
+from driftgate.llm import chat, decontaminate, mixture, ordinal, pii, tokens, urls
 from driftgate.session import WorkArea
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op2_token_counts(spark, folder):
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+@query
+def op3_benchmark_leaks(spark, folder):
+    return decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @query
 def op4_url_filter(spark, folder):
     return urls.judge(_table(spark, folder, "pages"))
