@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, decontaminate, mixture, ordinal, pii, tokens, urls
+from driftgate.llm import chat, decontaminate, jaccard, mixture, ordinal, pii, tokens, urls
 from driftgate.session import WorkArea
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,8 @@ def op8_mixture(spark, folder):
     return mixture.plan(area.save(sized, "sized"), area).select(
         "doc_id", "size", "source_size", "target", "taken", "shards"
     )
+
+
+@query
+def op10_jaccard_components(spark, folder):
+    return jaccard.cluster(_table(spark, folder, "documents"), WorkArea(spark, "op10"))

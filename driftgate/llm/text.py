@@ -156,9 +156,11 @@ def shingles(w: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_per_owner(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each owner."""
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    """Sorted distinct values of each owner; owners come in order."""
+    value = value.copy()
+    bounds = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)).tolist() if len(owner) else []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        value[a:b].sort()
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     return value[keep], owner[keep]
