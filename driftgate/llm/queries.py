@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, decontaminate, jaccard, mixture, ordinal, pii, tokens, urls
+from driftgate.llm import chat, decontaminate, jaccard, mixture, neighbours, ordinal, pii, tokens, urls
 from driftgate.session import WorkArea
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,12 @@ def op8_mixture(spark, folder):
     )
 
 
+@query
+def op9_nearest_vectors(spark, folder):
+    asked = F.col("vec_id") % 20 == 0
+    return neighbours.search(_table(spark, folder, "embeddings"), asked, 20, WorkArea(spark, "op9"))
+
+
 @query
 def op10_jaccard_components(spark, folder):
     return jaccard.cluster(_table(spark, folder, "documents"), WorkArea(spark, "op10"))
