@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, decontaminate, jaccard, mixture, neighbours, ordinal, pii, tokens, urls
+from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, neighbours, ordinal, pii, tokens, urls
 from driftgate.session import WorkArea
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,12 @@ def op6_personal_data(spark, folder):
     return pii.annotate(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+@query
+def op7_language_model(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return maxent.score(docs, WorkArea(spark, "op7"))
+
+
 @query
 def op8_mixture(spark, folder):
     docs = _table(spark, folder, "documents")
