@@ -13,53 +13,69 @@ from pyspark.sql.types import DoubleType
 # tasks get these functions with the job, so executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TOLERANCE = 1e-13
-MAX_HALVINGS = 50
+MOST_STEPS = 100
+
+
+def angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hyperbolic angle u >= 0 of the point ``(sinh u, cosh u)`` nearest to ``(a, b)``, for a >= 0.
+
+    The squared distance is stationary where ``g(u) = sinh 2u - a cosh u - b sinh u`` vanishes. Right of its last zero
+    g is convex, as ``g'' = g + 3 sinh 2u``, so Newton's method falls towards that zero from any point beyond it. One
+    such point follows from ``sinh 2u <= (a + max(b, 0)) cosh u`` at the zero.
+    """
+    u = np.arcsinh(0.5 * (a + np.maximum(b, 0.0)))
+    for _ in range(MOST_STEPS):
+        s, c = np.sinh(u), np.cosh(u)
+        slope = 2.0 * (s * s + c * c) - a * s - b * c
+        step = np.divide(2.0 * s * c - a * c - b * s, slope, out=np.zeros_like(u), where=slope > 0)
+        nxt = np.maximum(u - np.maximum(step, 0.0), 0.0)
+        if np.all(u - nxt <= 1e-16 * u):
+            break
+        u = nxt
+    return u
 
 
 def nearest(p: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """x-coordinate of the point of ``y = sqrt(x^2 + t)`` nearest to (p, q), for t >= 0."""
+    """x-coordinate of the point of ``y = sqrt(x^2 + t)`` nearest to (p, q), for t >= 0.
+
+    For t > 0 the curve is ``sqrt(t) (sinh u, cosh u)``; for t = 0 it is the cone ``y = |x|``.
+    """
     p, q, t = (np.asarray(a, dtype=float) for a in np.broadcast_arrays(p, q, t))
-    ap = np.abs(p)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cone = np.where(q <= -ap, 0.0, np.copysign(0.5 * (ap + q), p))
-        on_axis = np.sqrt(np.maximum(q * q / 4.0 - t, 0.0)) * (q > 0)
-        # the slope equation 2 - |p|/x - q/sqrt(x^2+t) rises in x between these two ends
-        low = ap / (2.5 + np.abs(q) / np.sqrt(t))
-        high = np.maximum(ap, q)
-        mid = 0.5 * (low + high)
-        for _ in range(MAX_HALVINGS):
-            open_ = np.abs((high - low) / mid) >= TOLERANCE
-            if not open_.any():
-                break
-            slope = 2.0 - ap / mid - q / np.sqrt(mid * mid + t)
-            high = np.where(open_ & (slope > 0), mid, high)
-            low = np.where(open_ & (slope < 0), mid, low)
-            mid = np.where(open_ & (slope != 0), 0.5 * (low + high), mid)
-        inner = np.copysign(mid, p)
-    return np.select([t == 0, p == 0, q == 0], [cone, on_axis, p / 2.0], default=inner)
+    root = np.sqrt(np.where(t > 0, t, 1.0))
+    curved = root * np.sinh(angle(np.abs(p) / root, q / root))
+    flat = np.maximum(0.5 * (np.abs(p) + q), 0.0)  # foot on the ray of the cone on the point's side
+    return np.copysign(np.where(t > 0, curved, flat), p)
+
+
+def _signed_distance(x, y, t):
+    """Distance of (y, x) to the curve ``x = sqrt(y^2 + t)``, t > 0; positive beyond it."""
+    foot = nearest(y, x, t)
+    away = np.hypot(x - np.sqrt(foot * foot + t), y - foot)
+    return np.copysign(away, x - np.sqrt(y * y + t))
+
+
+def _tangent_planes(xi, psi, t, x, y):
+    """The lower of the distances to the tangents of ``|y| = sqrt(x^2 + t)`` where it is nearest to (xi, psi)."""
+    u = nearest(xi, np.abs(psi), t)
+    v = np.sqrt(u * u + t)
+    return (u * x - v * np.abs(y) + t) / np.hypot(u, v)
 
 
 def score(xi: np.ndarray, psi: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Zone with reference (xi, psi) and threshold t, evaluated at (x, y); positive inside."""
-    xi, psi, t, x, y = (np.asarray(a, dtype=float) for a in (xi, psi, t, x, y))
-    side = np.where(xi >= 0, 1.0, -1.0)
-
-    # t > 0: signed distance to the branch on the reference's side
-    tp = np.where(t > 0, t, 1.0)
-    xs = x * side
-    foot = nearest(y, xs, tp)
-    inside = np.where(xs >= np.sqrt(y * y + tp), 1.0, -1.0)
-    distance = inside * np.hypot(xs - np.sqrt(foot * foot + tp), y - foot)
-
-    # t < 0: half planes tangent where the boundary is nearest to the reference; t = 0: the cone itself
-    tn = np.where(t < 0, -t, 1.0)
-    u = nearest(xi, np.abs(psi), tn)
-    v = np.sqrt(u * u + tn)
-    length = np.hypot(u, v)
-    tangent = (u * x - v * np.abs(y) + tn) / length
-    cone = (side * x - np.abs(y)) / np.sqrt(2.0)
-    return np.select([t > 0, t < 0], [distance, tangent], default=cone)
+    """Zone with reference (xi, psi) and threshold t, evaluated at (x, y); positive inside.
+
+    The region ``x^2 - y^2 >= t`` has two branches for t > 0, of which the reference's side counts, two cones for t = 0,
+    and is what lies between the branches of its conjugate for t < 0.
+    """
+    xi, psi, t, x, y = np.broadcast_arrays(*(np.asarray(a, dtype=float) for a in (xi, psi, t, x, y)))
+    out = np.empty(t.shape)
+    x_own = np.where(xi >= 0, x, -x)
+    two, between, cone = t > 0, t < 0, t == 0
+    out[two] = _signed_distance(x_own[two], y[two], t[two])
+    out[between] = _tangent_planes(xi[between], psi[between], -t[between], x[between], y[between])
+    out[cone] = (x_own[cone] - np.abs(y[cone])) / np.sqrt(2.0)
+    out[np.isnan(t)] = np.nan
+    return out
 
 
 @F.pandas_udf(DoubleType())

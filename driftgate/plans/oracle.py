@@ -137,22 +137,25 @@ def _zone_cap(sign: str) -> str:
 
 
 def nearest_ctes(points: str, out: str) -> list[str]:
-    """``points (id, p, q, t)`` with t > 0 to ``out (id, near)``: bisection on the slope equation."""
+    """``points (id, p, q, t)`` with t > 0 to ``out (id, near)``: the multiplier of the constraint, by halving.
+
+    At the nearest point of ``y^2 - x^2 = t`` some m gives ``x = p / (1 + m), y = q / (1 - m)``: between -1 and 1 for
+    q > 0, beyond 1 (written 1 / m) for q < 0. The residual ``y^2 - x^2 - t`` then rises or falls through zero once.
+    """
+    m = "CASE WHEN q > 0 THEN (lo + hi) / 2 ELSE 2 / (lo + hi) END"
+    residual = f"(q / (1 - ({m}))) ** 2 - (p / (1 + ({m}))) ** 2 - t"
     return [
         f"""{out}_b(id, p, q, t, lo, hi, n) AS (
-  SELECT id, abs(p), q, t, abs(p) / (CAST(2.5 AS DOUBLE) + abs(q) / sqrt(t)), greatest(abs(p), q), 0
+  SELECT id, p, q, t, CASE WHEN q > 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, CAST(1 AS DOUBLE), 0
   FROM {points} WHERE p <> 0 AND q <> 0
   UNION ALL
-  SELECT id, p, q, t,
-    CASE WHEN 2 - p / ((lo + hi) / 2) - q / sqrt(((lo + hi) / 2) * ((lo + hi) / 2) + t) < 0 THEN (lo + hi) / 2 ELSE lo END,
-    CASE WHEN 2 - p / ((lo + hi) / 2) - q / sqrt(((lo + hi) / 2) * ((lo + hi) / 2) + t) > 0 THEN (lo + hi) / 2 ELSE hi END,
-    n + 1
-  FROM {out}_b WHERE n < 60)""",
+  SELECT id, p, q, t, CASE WHEN {residual} < 0 THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN {residual} < 0 THEN hi ELSE (lo + hi) / 2 END, n + 1
+  FROM {out}_b WHERE n < 64)""",
         f"""{out} AS (
-  SELECT id, CASE WHEN p < 0 THEN -(lo + hi) / 2 ELSE (lo + hi) / 2 END AS near
-  FROM {points} JOIN (SELECT id, lo, hi FROM {out}_b WHERE n = 60) USING (id)
+  SELECT id, p / (1 + ({m})) AS near FROM {out}_b WHERE n = 64
   UNION ALL
-  SELECT id, CASE WHEN p = 0 THEN (CASE WHEN q > 2 * sqrt(t) THEN sqrt(q * q / 4 - t) ELSE 0 END) ELSE p / 2 END
+  SELECT id, CASE WHEN p = 0 THEN sqrt(greatest(q * q / 4 - t, 0)) * CAST(q > 0 AS INTEGER) ELSE p / 2 END
   FROM {points} WHERE p = 0 OR q = 0)""",
     ]
 

@@ -18,20 +18,19 @@ def quorum(ref, z, k):
 
 
 def foot(p, q, t):
-    """x of the nearest point of y = sqrt(x^2+t), by bisection."""
-    if p == 0:
-        return math.sqrt(q * q / 4 - t) if q > 2 * math.sqrt(t) else 0.0
-    if q == 0:
-        return p / 2
-    a = abs(p)
-    lo, hi = a / (2.5 + abs(q) / math.sqrt(t)), max(a, q)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if 2 - a / mid - q / math.sqrt(mid * mid + t) > 0:
-            hi = mid
-        else:
-            lo = mid
-    return math.copysign((lo + hi) / 2, p)
+    """x of the nearest point of y = sqrt(x^2+t): the best real root of the quartic of the normal through (p, q)."""
+    roots = np.roots([4.0, -4 * p, p * p + 4 * t - q * q, -4 * p * t, p * p * t])
+    real = {r.real for r in roots if abs(r.imag) < 1e-6 * (1 + abs(r))} | {0.0}
+
+    def polished(x):  # two Newton steps on the quartic itself
+        for _ in range(3):
+            f = (((4 * x - 4 * p) * x + p * p + 4 * t - q * q) * x - 4 * p * t) * x + p * p * t
+            d = ((16 * x - 12 * p) * x + 2 * (p * p + 4 * t - q * q)) * x - 4 * p * t
+            x = x - f / d if d else x
+        return x
+
+    best = min(real, key=lambda x: (x - p) ** 2 + (math.sqrt(x * x + t) - q) ** 2)
+    return min((best, polished(best)), key=lambda x: (x - p) ** 2 + (math.sqrt(x * x + t) - q) ** 2)
 
 
 def hyperbola(xi, psi, t, x, y):
