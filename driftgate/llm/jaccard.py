@@ -31,18 +31,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftgate.llm.components import components
 from driftgate.llm.text import distinct_per_owner, lower, mix, shingles, slices, utf8, words
 from driftgate.session import WorkArea
 
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 PAIRWISE = 16  # a signature with more classes is met by a star first
 SEGMENTS = 0.32  # segments for each element of a band's largest set
 RESERVED = 32  # one segment in so many is reserved
 CLOSEST = 2
 FILTER_BITS = 1 << 23
+FIRST_GROUPS = 8
 BLOCK = 2048
 DIRECT_BYTES = 8 << 20
 MIN_PARITY, MAX_PARITY = 64, 8192
@@ -88,7 +89,7 @@ def names_of(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def parity_of(elements: np.ndarray) -> np.ndarray:
     """Parity of the number of elements in each of a power of two of classes, packed into 64-bit words."""
-    bits = min(max(MIN_PARITY, 1 << int(len(elements)).bit_length()), MAX_PARITY)
+    bits = min(max(MIN_PARITY, 2 << int(len(elements)).bit_length()), MAX_PARITY)
     count = np.bincount((elements >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -165,7 +166,7 @@ def signatures(value: np.ndarray, first: np.ndarray, schemes=(0, 1)) -> tuple[np
     return np.concatenate(sig), np.concatenate(own), np.concatenate(probe), odd
 
 
-_ROWS = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, parity binary, odd boolean"
+_ROWS = "doc_id bigint, key bigint, n_shingles bigint, h1 bigint, h2 bigint, parity binary, odd boolean"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,18 +179,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array(np.diff(first)),
                 pa.array(h1.view(np.int64)),
                 pa.array(h2.view(np.int64)),
                 pa.array(parity, pa.binary()),
                 pa.array(odd),
             ],
-            names=["doc_id", "n_shingles", "h1", "h2", "parity", "odd"],
+            names=["doc_id", "key", "n_shingles", "h1", "h2", "parity", "odd"],
         )
 
 
 def _pack(buckets: int):
-    """Signatures of each class once a task, packed by bucket: names, sizes, then signatures and whose they are."""
+    """Signatures of each class once a task, packed by bucket: names, sizes and counts, then the signatures."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -206,13 +208,12 @@ def _pack(buckets: int):
                 continue
             bucket = (mix(sig) % np.uint64(buckets)).astype(np.int64)
             sig = sig >> np.uint64(1) << np.uint64(1) | probe.astype(np.uint64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((own, bucket))
             bucket, sig, own = bucket[order], sig[order], own[order]
             size, out, cuts = np.diff(first), [], np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
-                mine, place = np.unique(own[a:b], return_inverse=True)
-                short = place.astype(np.uint16 if len(mine) <= 65536 else np.uint32)
-                parts = (name[mine], size[mine].astype(np.uint64), sig[a:b], short)
+                mine, count = np.unique(own[a:b], return_counts=True)
+                parts = (name[mine], size[mine].astype(np.uint32), count.astype(np.uint32), sig[a:b])
                 out.append((int(bucket[a]), len(mine), b"".join(x.tobytes() for x in parts)))
             if out:
                 ids, classes, packed = zip(*out, strict=True)
@@ -224,7 +225,7 @@ def _pack(buckets: int):
     return apply
 
 
-_MET = "a bigint, b bigint, run bigint, probe boolean"
+_MET = "a bigint, b bigint, run bigint"
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -235,18 +236,16 @@ def _meet(table: pa.Table) -> pa.Table:
     names, sizes, sigs, owners, at = [], [], [], [], 0
     for classes, packed in zip(table["classes"].to_pylist(), table["packed"], strict=True):
         raw = packed.as_buffer()
-        width = 2 if classes <= 65536 else 4
-        n = (raw.size - 16 * classes) // (8 + width)
         names.append(np.frombuffer(raw, np.uint64, classes))
-        sizes.append(np.frombuffer(raw, np.uint64, classes, 8 * classes))
-        sigs.append(np.frombuffer(raw, np.uint64, n, 16 * classes))
-        owners.append(np.frombuffer(raw, f"u{width}", n, 16 * classes + 8 * n).astype(np.int64) + at)
+        sizes.append(np.frombuffer(raw, np.uint32, classes, 8 * classes))
+        sigs.append(np.frombuffer(raw, np.uint64, offset=16 * classes))
+        owners.append(np.repeat(np.arange(at, at + classes), np.frombuffer(raw, np.uint32, classes, 12 * classes)))
         at += classes
     name, size = np.concatenate(names), np.concatenate(sizes).astype(np.int64)
     sig, owner = np.concatenate(sigs), np.concatenate(owners)
     probe, sig = (sig & np.uint64(1)).astype(bool), sig >> np.uint64(1)
     # only signatures of two or more rows matter
-    order = np.argsort(sig, kind="stable")
+    order = np.argsort(sig)
     sig, owner, probe = sig[order], owner[order], probe[order]
     same = sig[1:] == sig[:-1]
     shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
@@ -294,7 +293,6 @@ def _meet(table: pa.Table) -> pa.Table:
             "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(who[member].view(np.int64))]),
             "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(member), pa.int64())]),
             "run": pa.concat_arrays([none, pa.array(sig[member].view(np.int64))]),
-            "probe": pa.concat_arrays([pa.nulls(len(pairs), pa.bool_()), pa.array(probe[member])]),
         }
     )
 
@@ -315,26 +313,37 @@ def _gap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _inside(table: pa.Table) -> pa.Table:
-    """Pairs across components within one kept group that sizes and parities allow."""
+    """Pairs across components within one kept group that sizes and parities allow.
+
+    Near copies share many groups; a pair is left to the first one in both its members' lists of first groups.
+    """
     name, size = table["a"].to_numpy(), table["n"].to_numpy()
-    root, probe = table["root"].to_numpy(), table["probe"].to_numpy(zero_copy_only=False)
+    root, run = table["root"].to_numpy(), table["run"][0].as_py()
     mine = table["mine"].to_numpy(zero_copy_only=False)
-    words_ = [np.frombuffer(p.as_buffer(), np.uint64) for p in table["parity"]]
-    width = np.array([len(w) for w in words_])
+    firsts = np.full((len(name), FIRST_GROUPS), np.iinfo(np.int64).max)
+    for i, own in enumerate(table["runs"]):
+        firsts[i, : len(own)] = own.values.to_numpy()
+    parity = [np.frombuffer(p.as_buffer(), np.uint64) for p in table["parity"]]
+    width = np.array([len(w) for w in parity])
+    stacks = {w: (np.flatnonzero(width == w), np.stack([parity[i] for i in np.flatnonzero(width == w)])) for w in set(width)}
     left, right = [], []
-    stacks = {w: (np.flatnonzero(width == w), np.stack([words_[i] for i in np.flatnonzero(width == w)])) for w in set(width)}
     for i in np.flatnonzero(mine):
         for rows, stack in stacks.values():
             ok = may_link(size[i], size[rows]) & (root[rows] != root[i])
-            ok &= (probe[i] & (size[i] >= size[rows])) | (probe[rows] & (size[rows] >= size[i]))
-            rows_ok = rows[ok]
-            if len(rows_ok):
-                near = 7 * parity_gap(stack[ok], words_[i][None, :]) <= size[i] + size[rows_ok]
-                left.append(np.full(near.sum(), name[i]))
-                right.append(name[rows_ok[near]])
+            near = 7 * parity_gap(stack[ok], parity[i][None, :]) <= size[i] + size[rows[ok]]
+            rows = rows[ok][near]
+            if not len(rows):
+                continue
+            shared = np.isin(firsts[rows], firsts[i])
+            shared &= firsts[rows] < np.iinfo(np.int64).max
+            first = np.where(shared, firsts[rows], np.iinfo(np.int64).max).min(1)
+            rows = rows[(first == run) | (first == np.iinfo(np.int64).max)]
+            left.append(np.full(len(rows), name[i]))
+            right.append(name[rows])
     a = np.concatenate(left) if left else np.zeros(0, np.int64)
     b = np.concatenate(right) if right else np.zeros(0, np.int64)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 class Join:
@@ -343,7 +352,8 @@ class Join:
     def __init__(self, docs: DataFrame, area: WorkArea):
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         self.area = area
-        self.rows = area.save(self.docs.mapInArrow(_describe, _ROWS), "rows")
+        keyed = self.docs.withColumn("key", row_key())
+        self.rows = area.save(keyed.mapInArrow(_describe, _ROWS), "rows")
         classes = self.rows.filter("n_shingles > 0").groupBy("h1", "h2")
         self.classes = area.save(
             classes.agg(
@@ -364,7 +374,7 @@ class Join:
         pairs = met.filter("run IS NULL").select("a", "b").distinct()
         for sets in self._direct():
             pairs = pairs.unionAll(sets)
-        return pairs, met.filter("run IS NOT NULL").select("run", "a", "probe")
+        return pairs, met.filter("run IS NOT NULL").select("run", "a")
 
     def _direct(self) -> Iterator[DataFrame]:
         """Sets without enough segments, against all sets; usually there are none."""
@@ -473,40 +483,60 @@ class Join:
 
     def _within(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs across components in groups that share a signature; groups within one component need nothing."""
-        own = self.classes.select(F.col("h1").alias("a"), "n", "parity")
         ra = roots.select(F.col("node").alias("a"), "root")
-        member = members.join(ra, "a", "left").select("run", "a", "probe", F.coalesce("root", "a").alias("root"))
-        member = self.area.save(member, "members")
+        member = self.area.save(members.join(ra, "a", "left").select("run", "a", F.coalesce("root", "a").alias("root")), "members")
         mixed = (
             member.groupBy("run")
             .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"))
             .filter("low <> high")
             .select("run", F.ceil(F.col("many") / BLOCK).cast("bigint").alias("blocks"))
         )
-        full = member.join(mixed, "run").join(own, "a")
+        full = member.join(self.area.save(mixed, "mixed"), "run")
+        # a class is in one group at most for each of its signatures
+        firsts = full.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("run")), 1, FIRST_GROUPS).alias("runs"))
+        own = self.classes.select(F.col("h1").alias("a"), "n", "parity")
+        full = full.join(firsts.join(own, "a"), "a")
         # a group of any size in blocks: each meets the whole group
         spread = full.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         spread = spread.withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")) == F.col("block"))
         return spread.drop("blocks").groupBy("run", "block").applyInArrow(_inside, "a bigint, b bigint")
 
 
-def cluster(docs: DataFrame, area: WorkArea) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``."""
+def row_key() -> Column:
+    """Tells rows apart that share an id; equal rows share it."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+
+
+def _labelled(docs: DataFrame, area: WorkArea) -> DataFrame:
+    """The rows with ``component_id`` and ``keeper``, the key of the row that stands for the component."""
     join = Join(docs, area)
     _, roots = join.links()
-    classes = join.classes.select("h1", "h2", "least")
-    labelled = classes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(smallest, "root").select("h1", "h2", "component_id")
-    return (
-        join.rows.join(labels, ["h1", "h2"], "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("h1").alias("class_id"))
+    roots = roots.withColumnRenamed("node", "h1")
+    first = join.rows.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    labelled = first.join(roots, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    least = labelled.groupBy("root").agg(F.min("first").alias("least"))
+    labels = labelled.join(least, "root").select("h1", "h2", "least")
+    rows = join.rows.join(labels, ["h1", "h2"], "left")
+    full = F.col("n_shingles") > 0
+    return rows.withColumn("component_id", F.when(full, F.col("least.doc_id")).otherwise(F.col("doc_id"))).withColumn(
+        "keeper", F.when(full, F.col("least.key")).otherwise(F.col("key"))
     )
 
 
+def cluster(docs: DataFrame, area: WorkArea) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``."""
+    return _labelled(docs, area).select("doc_id", "n_shingles", "component_id", F.col("h1").alias("class_id"))
+
+
 def distinct_documents(docs: DataFrame, area: WorkArea) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Empty texts and null ids all stay."""
-    out = cluster(docs.select("doc_id", "text"), area)
-    gone = out.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each group stays: the one with the smallest id. Texts without words all stay."""
+    rows = area.save(_labelled(docs.select("doc_id", "text"), area).select("key", "keeper", "n_shingles"), "labels")
+    gone = rows.filter("key <> keeper").select("key").distinct()
+    kept = docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("key"), "left_anti")
+    # equal rows with equal ids share their key; one of them stays
+    twins = rows.filter("key = keeper AND n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    if twins.isEmpty():
+        return kept.drop("_key")
+    twin = F.col("_key") == F.col("key")
+    once = kept.join(twins, twin, "left_semi").dropDuplicates(["_key"])
+    return kept.join(twins, twin, "left_anti").unionAll(once).drop("_key")

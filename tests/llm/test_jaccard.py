@@ -105,6 +105,9 @@ def test_cases(spark):
     assert jaccard.cluster(df.limit(0), WorkArea(spark, "t")).count() == 0
     kept = jaccard.distinct_documents(df, WorkArea(spark, "t"))
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 8] and kept.columns == df.columns
+    again = spark.createDataFrame([(5, "a b c d e f", 0)] * 4 + [(5, "other words", 0), (7, "", 0), (7, "", 0)], DOC)
+    kept = jaccard.distinct_documents(again, WorkArea(spark, "t")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, "a b c d e f"), (5, "other words"), (7, ""), (7, "")]
 
 
 def test_parity_is_a_lower_bound():
