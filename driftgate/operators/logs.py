@@ -24,9 +24,9 @@ def _seconds_since(start: Column) -> Column:
     return (F.col("realTS") - start) / F.lit(1000.0)
 
 
-def _with_node_start(log: DataFrame, nodes: int | None) -> DataFrame:
+def _with_node_start(log: DataFrame) -> DataFrame:
     starts = log.groupBy("nodeID").agg(F.min("realTS").alias("_start"))
-    return attach(log, starts, ["nodeID"], row_bound=nodes)
+    return attach(log, starts, ["nodeID"])
 
 
 def elapsed(log: DataFrame, mark: str, column: str = "metricType") -> DataFrame:
@@ -35,14 +35,14 @@ def elapsed(log: DataFrame, mark: str, column: str = "metricType") -> DataFrame:
     return log.filter(F.col(column) == mark).select("seq", _seconds_since(start).alias("elapsed"))
 
 
-def events_over_time(throughput: DataFrame, nodes: int | None = None) -> DataFrame:
-    joined = _with_node_start(throughput, nodes)
+def events_over_time(throughput: DataFrame) -> DataFrame:
+    joined = _with_node_start(throughput)
     return joined.select("nodeID", "seq", _seconds_since(F.col("_start")).alias("elapsed"), "events")
 
 
-def derivative(throughput: DataFrame, h: float, nodes: int | None = None) -> DataFrame:
+def derivative(throughput: DataFrame, h: float) -> DataFrame:
     """Growth of the cumulative count per ``h``-second bucket, divided by ``h``."""
-    series = events_over_time(throughput, nodes)
+    series = events_over_time(throughput)
     buckets = (
         series.groupBy("nodeID", F.floor(F.col("elapsed") / F.lit(float(h))).cast("bigint").alias("bucket"))
         .agg(F.max("events").alias("last"), F.min("events").alias("first"))
@@ -52,9 +52,9 @@ def derivative(throughput: DataFrame, h: float, nodes: int | None = None) -> Dat
     return buckets.select("nodeID", "bucket", (growth / F.lit(float(h))).alias("rate"))
 
 
-def mean_throughput(throughput: DataFrame, nodes: int | None = None) -> DataFrame:
+def mean_throughput(throughput: DataFrame) -> DataFrame:
     """Events per second since the node's first row; null where no time has passed."""
-    series = events_over_time(throughput, nodes)
+    series = events_over_time(throughput)
     return series.select("nodeID", "seq", "elapsed", F.try_divide("events", "elapsed").alias("rate"))
 
 
@@ -78,10 +78,8 @@ def increments_between(log: DataFrame, marks: Sequence[str], increment: str = "S
     return counted.filter(F.col("closed") > 0).select("nodeID", "period", "increments")
 
 
-def cumulative_increments(
-    log: DataFrame, increment: str = "SENT_INCREMENT", nodes: int | None = None
-) -> DataFrame:
-    timed = _with_node_start(log, nodes).filter(F.col("eventType") == increment)
+def cumulative_increments(log: DataFrame, increment: str = "SENT_INCREMENT") -> DataFrame:
+    timed = _with_node_start(log).filter(F.col("eventType") == increment)
     ranked = global_rank(
         timed.select("nodeID", *ORDER, _seconds_since(F.col("_start")).alias("elapsed")), ORDER
     )

@@ -33,7 +33,7 @@ def site_hashes(server: Column) -> dict[str, Column]:
         "text_hash": once,
         "double_text_hash": text_hash(once.cast("string")),
         "md5": F.conv(F.substring(F.md5(text), 9, 8), 16, 10).cast("bigint"),
-        "mixed": (_long(32) * once + text_hash(text, 46)).bitwiseXOR(_long(2)),
+        "sha": F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint"),
     }
 
 

@@ -52,9 +52,9 @@ def row_norms(a: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return vectors.norm(a, (*by, "d"))
 
 
-def normalize(a: DataFrame, by: Sequence[str] = (), groups: int | None = None) -> DataFrame:
-    """Divide every sketch row by its length; zero rows stay zero. ``groups`` bounds the group count if known."""
-    bound = None if groups is None else groups * 1_000
+def normalize(a: DataFrame, by: Sequence[str] = (), shape: SketchShape | None = None) -> DataFrame:
+    """Divide every sketch row by its length; zero rows stay zero. A single sketch has as many rows as ``shape``."""
+    bound = shape.depth if shape and not by else None
     joined = attach(a, row_norms(a, by), (*by, "d"), row_bound=bound)
     unit = F.when(F.col("norm") > 0, F.col("v") / F.col("norm")).otherwise(F.lit(0.0))
     return joined.withColumn("v", unit).drop("norm")

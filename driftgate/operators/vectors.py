@@ -36,11 +36,11 @@ def norm(a: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return a.groupBy(*by).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
 
-def normalize(a: DataFrame, by: Sequence[str] = (), groups: int | None = None) -> DataFrame:
-    """Unit vectors per group; a zero vector is an error. ``groups`` bounds the number of groups if known."""
+def normalize(a: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Unit vectors per group; a zero vector is an error."""
     lengths = norm(a, by)
     if by:
-        joined = attach(a, lengths, by, row_bound=groups)
+        joined = attach(a, lengths, by)
     else:
         joined = a.withColumn("norm", lengths.scalar())
     zero = F.raise_error(F.lit("cannot normalize a zero vector")).cast("double")

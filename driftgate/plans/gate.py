@@ -12,7 +12,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from driftgate.operators.windows import slots_per_window, with_slot
@@ -26,8 +26,8 @@ LOG_ROWS_HELD = 200_000
 
 ESTIMATE_SCHEMA = "round bigint, ts bigint, estimate double"
 CENTRE_SCHEMA = "seq bigint, realTS bigint, eventTS bigint, metricType string"
-SITE_SCHEMA = "seq bigint, realTS bigint, eventTS bigint, nodeID bigint, eventType string"
-LOG_SCHEMAS = {"centre": CENTRE_SCHEMA, "site": SITE_SCHEMA}
+SITE_SCHEMA = "seq bigint, realTS bigint, eventTS bigint, nodeID bigint, eventType string, gained bigint"
+LOG_SCHEMAS = {"estimates": ESTIMATE_SCHEMA, "centre": CENTRE_SCHEMA, "site": SITE_SCHEMA}
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,7 @@ class GateState:
     lam: float = 1.0
     psi_beta: float = 0.0
     span: int = 0
+    seq: int = 0  # of the last log row
     start_z: float = 0.0
     z: dict[str, float] = field(default_factory=dict)
     phi: dict[str, float] = field(default_factory=dict)
@@ -71,26 +72,14 @@ class GateState:
 
 @dataclass
 class Log:
-    """Rows the gate emits; their number is that of the protocol's messages."""
+    """Decisions of the gate: answers, ends of rounds and subrounds, and growing counters of sites."""
 
     estimates: list[tuple] = field(default_factory=list)
     centre: list[tuple] = field(default_factory=list)
     site: list[tuple] = field(default_factory=list)
-    seq: int = 0
 
-    def at_centre(self, ts: int, metric: str, copies: int = 1) -> None:
-        for _ in range(copies):
-            self.seq += 1
-            self.centre.append((self.seq, int(time.time() * 1000), ts, metric))
-
-    def at_site(self, ts: int, node: int, event: str) -> None:
-        self.seq += 1
-        self.site.append((self.seq, int(time.time() * 1000), ts, node, event))
-
-    def at_sites(self, ts: int, k: int, *events: str) -> None:
-        for node in range(k):
-            for event in events:
-                self.at_site(ts, node, event)
+    def __len__(self) -> int:
+        return len(self.estimates) + len(self.centre) + len(self.site)
 
 
 class Gate:
@@ -101,7 +90,8 @@ class Gate:
         self.state = state or GateState()
         self.log = Log()
         self.scalars = 0
-        self.spilled = 0
+        self.batch = 0  # of a stream; log parts of different micro-batches never meet
+        self.parts = 0
         self._estimate: DataFrame | None = None
         self._drift: str | None = None  # table of the open round's drift up to pos, once the round is long
 
@@ -139,27 +129,36 @@ class Gate:
             self.work.drop(self._drift)
             self._drift = None
 
-    def _spill(self) -> None:
-        """Move a long log out of the driver."""
-        if len(self.log.centre) + len(self.log.site) > LOG_ROWS_HELD:
-            for name, rows in (("centre", self.log.centre), ("site", self.log.site)):
-                self.work.save(self.work.spark.createDataFrame(rows, LOG_SCHEMAS[name]), f"{name}/part={self.spilled}")
+    def _at_centre(self, metric: str) -> None:
+        self.state.seq += 1
+        self.log.centre.append((self.state.seq, int(time.time() * 1000), self.state.last_ts, metric))
+
+    def _at_site(self, node: int, event: str, gained: int) -> None:
+        self.state.seq += 1
+        self.log.site.append((self.state.seq, int(time.time() * 1000), self.state.last_ts, node, event, gained))
+
+    def flush(self, least: int = 1) -> None:
+        """Move the log out of the driver once it has ``least`` rows."""
+        if len(self.log) < least:
+            return
+        for name, schema in LOG_SCHEMAS.items():
+            rows = getattr(self.log, name)
+            if rows:
+                table = self.work.spark.createDataFrame(rows, schema)
+                self.work.save(table, f"{name}/batch={self.batch}/part={self.parts}")
                 rows.clear()
-            self.spilled += 1
+        self.parts += 1
 
     def log_table(self, name: str) -> DataFrame:
         rest = self.work.spark.createDataFrame(getattr(self.log, name), LOG_SCHEMAS[name])
-        if not self.spilled:
-            return rest
-        stored = self.work.load(name, StructType.fromDDL(f"{LOG_SCHEMAS[name]}, part bigint")).drop("part")
-        return stored.unionByName(rest)
+        return stored_log(self.work, name).unionByName(rest) if self.parts else rest
 
     # -- rounds
 
     def _close(self, deltas: DataFrame, slot: int) -> None:
         """Fold the drifts up to ``slot`` into the estimate, publish, and start the next round."""
         st, k = self.state, self.config.k
-        drift = self.spec.scale(self._range(deltas, st.closed, slot), 1.0 / k)
+        drift = self._range(deltas, st.closed, slot)
         previous = st.round
         if previous:
             merged = self.spec.add(self.estimate(), drift)
@@ -168,21 +167,18 @@ class Gate:
         st.round += 1
         self._estimate = self.work.save(merged, f"estimate-{st.round}")
         self._obsolete(previous)
-        zone = self.spec.zone(self._estimate)
+        zone = self.spec.zone(self._estimate, k)
         st.zone = zone
         st.closed = st.drift_from = st.pos = slot
         st.last_ts = slot * self.config.slide_ms
         st.lam, st.psi_beta, st.growth = 1.0, 0.0, 0
         st.z, st.phi, st.counter = {}, {}, {}
         ts = st.last_ts
-        self.log.at_centre(ts, "RECEIVED_DRIFT", k)
-        self.log.at_centre(ts, "SENT_ESTIMATE")
-        self.log.at_centre(ts, "ROUND")
+        self._at_centre("ROUND")
         self.log.estimates.append((st.round, ts, self.spec.answer(zone) if zone else 0.0))
         if zone:
             st.start_z = self.spec.phi_at_zero(zone)
             st.quantum = st.start_z / 2
-            self.log.at_sites(ts, k, "RECEIVED_ESTIMATE")
 
     def _obsolete(self, round_: int) -> None:
         """An estimate that no later step reads."""
@@ -196,17 +192,12 @@ class Gate:
         summed = self._range(deltas, st.closed, slot).withColumns(
             {"site": F.lit(0).cast("bigint"), "slot": F.lit(slot).cast("bigint")}
         )
-        balance = self.spec.collect_cells(self.spec.scale(summed, 1.0 / mu), ("site", "slot"))
-        scored = self.spec.phi_series(balance, self.estimate(), st.zone).first()
+        balance = self.spec.collect_cells(summed, ("site", "slot"))
+        scored = self.spec.phi_series(balance, self.estimate(), st.zone, k=k, weight=1.0 / mu).first()
         st.psi_beta = mu * (scored["phi"] if scored else st.start_z)
         st.lam, st.drift_from = LAMBDA, slot
         st.z, st.phi, st.counter, st.growth = {}, {}, {}, 0
-        ts = st.last_ts
-        self.log.at_centre(ts, "RECEIVED_DRIFT", k)
-        self.log.at_centre(ts, "SENT_LAMBDA")
-        self.log.at_centre(ts, "REBALANCED_ROUND")
-        self.log.at_sites(ts, k, "RECEIVED_LAMBDA", "SENT_ZETA")
-        self.log.at_centre(ts, "RECEIVED_ZETA", k)
+        self._at_centre("REBALANCED_ROUND")
         return self._next_subround(k * LAMBDA * st.start_z)
 
     def _next_subround(self, psi: float) -> bool:
@@ -214,16 +205,12 @@ class Gate:
         st, k = self.state, self.config.k
         budget = psi + st.psi_beta
         if budget < self.config.mqf * k * st.start_z:
-            self.log.at_centre(st.last_ts, "SENT_REQ_DRIFT")
-            self.log.at_sites(st.last_ts, k, "RECEIVED_REQ_DRIFT", "SENT_DRIFT")
             return False
         st.quantum = budget / (2 * k)
         st.growth = 0
         fresh = st.lam * st.start_z
         st.z = {str(i): st.phi.get(str(i), fresh) for i in range(k)}
         st.counter = {}
-        self.log.at_centre(st.last_ts, "SENT_QUANTUM")
-        self.log.at_sites(st.last_ts, k, "RECEIVED_QUANTUM")
         return True
 
     def _walk(self, rows: Iterator) -> int | None:
@@ -242,8 +229,7 @@ class Gate:
             if gained > 0:
                 st.counter[site] = st.counter.get(site, 0) + gained
                 st.growth += gained
-                self.log.at_site(st.last_ts, row["site"], "SENT_INCREMENT")
-                self.log.at_centre(st.last_ts, "RECEIVED_INCREMENT")
+                self._at_site(row["site"], "SENT_INCREMENT", gained)
         if current is not None and self._end_of_slot():
             return current
         return None
@@ -253,10 +239,7 @@ class Gate:
         st, k = self.state, self.config.k
         if st.growth <= k:
             return False
-        self.log.at_centre(st.last_ts, "SENT_REQ_ZETA")
-        self.log.at_centre(st.last_ts, "SUBROUND")
-        self.log.at_sites(st.last_ts, k, "RECEIVED_REQ_ZETA", "SENT_ZETA")
-        self.log.at_centre(st.last_ts, "RECEIVED_ZETA", k)
+        self._at_centre("SUBROUND")
         fresh = st.lam * st.start_z
         return not self._next_subround(sum(st.phi.get(str(i), fresh) for i in range(k)))
 
@@ -285,15 +268,17 @@ class Gate:
                     st.pos = last
                 else:
                     self._close(deltas, nxt)
+                    self.flush(LOG_ROWS_HELD)
                 continue
             hi = min(st.pos + reach, last)
             series = self.spec.phi_series(
-                self._open_drift(deltas, hi), self.estimate(), st.zone, st.lam
+                self._open_drift(deltas, hi), self.estimate(), st.zone, st.lam, cfg.k
             ).filter(F.col("slot") > st.pos)
             # at most k scalars per slot, SCALARS_PER_JOB in all
             rows = sorted(series.collect(), key=lambda r: (r["slot"], r["site"]))
             self.scalars += len(rows)
             over = self._walk(iter(rows))
+            self.flush(LOG_ROWS_HELD)
             if over is None:
                 if 2 * reach > most and hi < last:
                     self._fold(deltas, hi)
@@ -308,11 +293,19 @@ class Gate:
             else:
                 self._close(deltas, over)
             reach = st.span = min(max(2 * length, 8), most)
-            self._spill()
+            self.flush(LOG_ROWS_HELD)
         self._forget_drift()
         return st
 
 
+def stored_log(work: WorkArea, name: str) -> DataFrame:
+    """All flushed parts of a log."""
+    schema = StructType.fromDDL(f"{LOG_SCHEMAS[name]}, batch bigint, part bigint")
+    if not work.exists(name):
+        return work.spark.createDataFrame([], LOG_SCHEMAS[name])
+    return work.load(name, schema).drop("batch", "part")
+
+
 def slot_deltas(spec: MonitorSpec, slotted: DataFrame, n_slots: int | None = None) -> DataFrame:
     """Cell changes per (site, slot); a window of ``n_slots`` slots adds the withdrawals."""
     deltas = spec.collect_cells(spec.contributions(slotted), ("site", "slot"))
@@ -340,10 +333,14 @@ class MonitorResult:
     scalars: int  # numbers that reached the driver
 
 
-def throughput(slotted: DataFrame, slide_ms: int) -> DataFrame:
-    """Cumulative source events per site and slot; at most one row per slot of a site."""
+def throughput(slotted: DataFrame, slide_ms: int, clock: Column | None = None) -> DataFrame:
+    """Cumulative source events per site and slot, at most one row per slot of a site.
+
+    ``realTS`` is the time of the query, or ``clock``, an expression of ``slot`` and ``site``.
+    """
     counts = slotted.groupBy("site", "slot").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
+        (F.unix_millis(F.current_timestamp()) if clock is None else clock).alias("realTS"),
         (F.col("slot") * slide_ms).alias("eventTS"),
         F.col("site").alias("nodeID"),
         F.expr("sum(n) over (partition by site order by slot)").alias("events"),
@@ -381,9 +378,9 @@ def monitor(
         gate.advance(stored, last - (n_slots or 0))  # withdrawals after the last event are not walked
     gate._obsolete(gate.state.round)
     work.drop("deltas")
-    answers = [(r, ts, q * k * k if total else q) for r, ts, q in gate.log.estimates]
+    answers = gate.log_table("estimates")
     return MonitorResult(
-        spark.createDataFrame(answers, ESTIMATE_SCHEMA),
+        answers.withColumn("estimate", F.col("estimate") * F.lit(float(k * k))) if total else answers,
         gate.log_table("centre"),
         gate.log_table("site"),
         throughput(slotted, slide_ms),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from driftgate.functions.keys import PRIME
-from driftgate.plans.queries import DAY, EPS, HOUR, KS, SHAPE, SITES, TYPES, WARM_DAYS
+from driftgate.plans.queries import DAY, EPS, HOUR, KS, LATE_DAYS, SHAPE, SITES, TYPES, WARM_DAYS
 from driftgate.sources.synthetic import _draw_coefficients
 
 P, D, W = PRIME, SHAPE.depth, SHAPE.width
@@ -355,11 +355,23 @@ def _balance_parts(kind: str) -> list[str]:
     ]
 
 
-def _monitor(kind: str, window_days: int | None = None, rebalance: bool = False, upto: str = "true") -> str:
-    walk = _walk(_monitor_parts(kind, window_days, rebalance), rebalance)
+def _late_events() -> list[str]:
+    """CTEs: events in three micro-batches; one in 50 comes a batch late and joins the first open slot."""
+    open_ = "(SELECT max(slot) FROM part p WHERE p.part < part.part)"
+    return [
+        EV.replace("ev AS (", "ev0 AS ("),
+        f"""part AS (SELECT *, least(2, CASE WHEN day < {LATE_DAYS[0]} THEN 0 WHEN day < {LATE_DAYS[1]} THEN 1 ELSE 2 END
+    + CAST(event_id % 50 = 0 AS INTEGER)) AS part FROM ev0)""",
+        f"ev AS (SELECT * REPLACE (coalesce(greatest(slot, {open_}), slot) AS slot) FROM part)",
+    ]
+
+
+def _monitor(kind: str, window_days: int | None = None, rebalance: bool = False, late: bool = False) -> str:
+    parts = _monitor_parts(kind, window_days, rebalance)
+    walk = _walk([*_late_events(), *parts[1:]] if late else parts, rebalance)
     return walk + (
         f"SELECT CAST(rnd AS BIGINT) AS round, CAST(s * {DAY} AS BIGINT) AS ts, start.f2 AS estimate "
-        f"FROM walk JOIN start ON start.r = walk.s WHERE emitted AND {upto}"
+        f"FROM walk JOIN start ON start.r = walk.s WHERE emitted"
     )
 
 
@@ -413,12 +425,12 @@ def _coverage() -> str:
     once = _text_hash("CAST(u AS VARCHAR)")
     mod = "(h % k + k) % k"
     return f"""WITH u AS (SELECT DISTINCT user_id AS u FROM events),
-h1 AS (SELECT u, {once} AS th, {_text_hash('CAST(u AS VARCHAR)', 46)} AS th46 FROM u),
+h1 AS (SELECT u, {once} AS th FROM u),
 h2 AS (
   SELECT 'raw' AS hash, u AS h FROM h1 UNION ALL SELECT 'text_hash', th FROM h1
   UNION ALL SELECT 'double_text_hash', {_text_hash('CAST(th AS VARCHAR)')} FROM h1
   UNION ALL SELECT 'md5', CAST('0x' || substr(md5(CAST(u AS VARCHAR)), 9, 8) AS BIGINT) FROM h1
-  UNION ALL SELECT 'mixed', xor(32 * th + th46, 2::BIGINT) FROM h1)
+  UNION ALL SELECT 'sha', CAST('0x' || substr(sha256(CAST(u AS VARCHAR)), 1, 8) AS BIGINT) FROM h1)
 SELECT hash, k, count(DISTINCT {mod}) AS sites_hit FROM h2, range(2, 28) r(k) GROUP BY hash, k"""
 
 
@@ -432,7 +444,7 @@ def _synthetic() -> str:
 
     return f"""WITH r AS (SELECT event_id AS id, {draw(0, 10)} AS site, {draw(1, 100)} AS a, {draw(2, 5)} + 1 AS step FROM events),
 t AS (SELECT *, CAST(sum(step) OVER (ORDER BY id) - step AS BIGINT) AS tick FROM r)
-SELECT id, site, 1000000 + tick * 100 AS ts_ms, a, CAST(1 AS BIGINT) AS b, CAST(1 AS DOUBLE) AS val FROM t WHERE tick <= 20000"""
+SELECT id, site, 1000000 + tick * 100 AS ts_ms, a, CAST(1 AS BIGINT) AS b, CAST(1 AS DOUBLE) AS val FROM t"""
 
 
 _STARTS = f"""st(site, start) AS (
@@ -598,7 +610,7 @@ def _monitor_join(eps: float) -> str:
 
 
 def _monitor_log() -> str:
-    """Messages per kind, derived from what happened in every slot of the walk."""
+    """Decisions per kind, derived from what happened in every slot of the walk."""
     k = SITES
     walk = _walk(_monitor_parts("exact", None, False), False)
     return walk + f""", h AS (
@@ -607,15 +619,9 @@ def _monitor_log() -> str:
       CAST(trunc((p.z[i + 1] - ph.phis[i + 1]) / p.q) AS BIGINT) > p.c[i + 1])) END AS inc
   FROM walk w LEFT JOIN walk p ON p.s = w.s - 1 LEFT JOIN ph ON ph.r = p.r AND ph.b = p.b AND ph.s = w.s),
 m AS (
-  SELECT s, unnest(['RECEIVED_INCREMENT', 'SITE_SENT_INCREMENT']) AS kind, inc AS n FROM h
-  UNION ALL SELECT s, unnest(['SUBROUND', 'SENT_REQ_ZETA']), 1 FROM h WHERE ended
-  UNION ALL SELECT s, unnest(['RECEIVED_ZETA', 'SITE_RECEIVED_REQ_ZETA', 'SITE_SENT_ZETA']), {k} FROM h WHERE ended
-  UNION ALL SELECT s, 'SENT_QUANTUM', 1 FROM h WHERE ended AND NOT emitted
-  UNION ALL SELECT s, 'SITE_RECEIVED_QUANTUM', {k} FROM h WHERE ended AND NOT emitted
-  UNION ALL SELECT s, 'SENT_REQ_DRIFT', 1 FROM h WHERE ended AND emitted
-  UNION ALL SELECT s, unnest(['SITE_RECEIVED_REQ_DRIFT', 'SITE_SENT_DRIFT']), {k} FROM h WHERE ended AND emitted
-  UNION ALL SELECT s, unnest(['ROUND', 'SENT_ESTIMATE']), 1 FROM h WHERE emitted
-  UNION ALL SELECT s, unnest(['RECEIVED_DRIFT', 'SITE_RECEIVED_ESTIMATE']), {k} FROM h WHERE emitted)
+  SELECT s, 'SITE_SENT_INCREMENT' AS kind, inc AS n FROM h
+  UNION ALL SELECT s, 'SUBROUND', 1 FROM h WHERE ended
+  UNION ALL SELECT s, 'ROUND', 1 FROM h WHERE emitted)
 SELECT CAST(s * {DAY} AS BIGINT) AS "eventTS", kind, CAST(n AS BIGINT) AS n FROM m WHERE n > 0"""
 
 
@@ -648,9 +654,11 @@ def all_sql() -> dict[str, str]:
         "sketch_normalize": SKETCHED + f"SELECT site, d, w, {_r('v / sqrt(sum(v * v) OVER (PARTITION BY site, d))', 'v')} FROM s",
         "sketch_row_dot": SKETCHED + "SELECT p.site, p.d, sum(p.v * q.v) AS dot FROM s p JOIN s q ON p.d = q.d AND p.w = q.w AND q.site = 0 GROUP BY ALL",
         "sketch_dense_pos": SKETCHED + f"SELECT site, d * {W} + w AS flat, d, w, v FROM s",
-        "sketch_dense": SKETCHED + f"SELECT site, CAST({D * W} AS BIGINT) AS cells, count(*) FILTER (WHERE v <> 0) AS filled, sum(v) AS total FROM s GROUP BY site",
+        "sketch_dense": SKETCHED + f"""SELECT g.site, g.pos, coalesce(s.v, CAST(0 AS DOUBLE)) AS v
+FROM (SELECT site, pos FROM range({SITES}) a(site), range({D * W}) b(pos)) g
+LEFT JOIN s ON s.site = g.site AND s.d * {W} + s.w = g.pos""",
         "sketch_dense_arrays": SKETCHED + f"""SELECT g.site, g.pos, coalesce(s.v, CAST(0 AS DOUBLE)) AS v
-FROM (SELECT site, pos FROM range({SITES}) a(site), range(0, {D * W}, 100) b(pos)) g
+FROM (SELECT site, pos FROM range({SITES}) a(site), range({D * W}) b(pos)) g
 LEFT JOIN s ON s.site = g.site AND s.d * {W} + s.w = g.pos""",
         "sketch_column": SKETCHED + "SELECT d, w, v FROM s WHERE (site = 1 AND w <> 17) OR (site = 0 AND w = 17)",
         "sketch_equal": SKETCHED.rstrip() + ",\n" + cells("t", "ev", "") + """
@@ -719,7 +727,8 @@ WHERE (slot + 1) * {DAY} <= (SELECT max(ts_ms) FROM ev) - {6 * HOUR} GROUP BY si
         "monitor_throughput": ev
         + f"""SELECT slot * {DAY} AS "eventTS", site AS "nodeID", CAST(sum(count(*)) OVER (PARTITION BY site ORDER BY slot) AS BIGINT) AS events
 FROM ev GROUP BY site, slot""",
-        "monitor_stream_exact": _monitor("exact", upto="s < (SELECT top FROM warm)"),
+        "monitor_stream_exact": _monitor("exact"),
+        "monitor_stream_late": _monitor("exact", late=True),
         "log_node": logw + "SELECT seq, \"realTS\", CASE b WHEN 2 THEN 'RECEIVED_ESTIMATE' WHEN 3 THEN 'RECEIVED_QUANTUM' WHEN 1 THEN 'SENT_INCREMENT' ELSE 'EVENT' END AS \"eventType\" FROM log WHERE nodeID = 1",
         "log_elapsed": logw + f"SELECT seq, {_r('since_start', 'elapsed')} FROM log WHERE b = 2",
         "log_events": logw + f"SELECT nodeID, seq, {_r('elapsed', 'elapsed')}, events FROM log",

@@ -14,11 +14,11 @@ from driftgate.functions import arrays
 from driftgate.functions.hyperbola import hyperbola_score
 from driftgate.functions.keys import PRIME, SketchShape, pair_key, site_of
 from driftgate.operators import counters, logs, ordering, profiles, sketch, vectors, windows, zones
-from driftgate.plans.gate import monitor, slot_deltas, throughput
-from driftgate.plans.spec import SketchF2
+from driftgate.plans.gate import GateConfig, monitor, slot_deltas, throughput
+from driftgate.plans.spec import ExactF2, SketchF2
 from driftgate.session import WorkArea
 from driftgate.sources import access_log, synthetic
-from driftgate.streaming.monitor import monitor_stream
+from driftgate.streaming.monitor import StreamMonitor, monitor_stream
 from driftgate.streaming.watermarks import closed_windows
 
 SITES = 4
@@ -27,6 +27,7 @@ SHAPE = SketchShape()
 HOUR = 3_600_000
 DAY = 24 * HOUR
 WARM_DAYS = 10
+LATE_DAYS = (15, 22)
 TYPES = ("view", "click", "purchase", "signup", "error")
 KS = (2, 4, 8, 12, 20)
 
@@ -154,9 +155,9 @@ def ingest_log_files(spark, folder):
 
 @query
 def synthetic_events(spark, folder):
-    """One synthetic event per row of events, until 80 % of the expected ticks are used up."""
+    """One synthetic event for every row of events."""
     ids = _table(spark, folder, "events").select(F.col("event_id").alias("id"))
-    return synthetic.synthetic_events(ids, start_ms=1_000_000, records=20_000, gap=5)
+    return synthetic.synthetic_events(ids, start_ms=1_000_000, gap=5)
 
 
 @query
@@ -195,7 +196,7 @@ def vector_norm(spark, folder):
 
 @query
 def vector_normalize(spark, folder):
-    v = vectors.normalize(vectors.build(events(spark, folder)), ("site",), groups=SITES)
+    v = vectors.normalize(vectors.build(events(spark, folder)), ("site",))
     return v.select("site", "x", _r("v"))
 
 
@@ -277,7 +278,7 @@ def sketch_row_norms(spark, folder):
 @query
 def sketch_normalize(spark, folder):
     s = sketch.build(events(spark, folder), ("site",), SHAPE)
-    return sketch.normalize(s, ("site",), groups=SITES).select("site", "d", "w", _r("v"))
+    return sketch.normalize(s, ("site",)).select("site", "d", "w", _r("v"))
 
 
 @query
@@ -295,19 +296,17 @@ def sketch_dense_pos(spark, folder):
 
 @query
 def sketch_dense(spark, folder):
-    """Zeros spelled out: filled and empty cells, and the weight, of every site's dense form."""
+    """Zeros spelled out: every cell of every site's dense form."""
     s = sketch.dense(sketch.sparse(sketch.build(events(spark, folder), ("site",), SHAPE)), ("site",), SHAPE)
-    return s.groupBy("site").agg(
-        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("v") != 0).alias("filled"), F.sum("v").alias("total")
-    )
+    return s.select("site", "pos", "v")
 
 
 @query
 def sketch_dense_arrays(spark, folder):
-    """One array per site, read back at every 100th position."""
+    """One array per site, read back at every position."""
     s = sketch.dense_arrays(sketch.build(events(spark, folder), ("site",), SHAPE), ("site",), SHAPE)
     picked = s.select("site", F.posexplode("cells").alias("pos", "v"))
-    return picked.filter("pos % 100 = 0").select("site", F.col("pos").cast("bigint").alias("pos"), "v")
+    return picked.select("site", F.col("pos").cast("bigint").alias("pos"), "v")
 
 
 @query
@@ -615,7 +614,7 @@ def monitor_join(spark, folder):
 
 @query
 def monitor_log(spark, folder):
-    """Messages of the exact run by kind and time."""
+    """Decisions of the exact run by kind and time."""
     run = _monitor(spark, folder, "exact")
     centre = run.centre_log.groupBy("eventTS", F.col("metricType").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     site = run.site_log.groupBy("eventTS", F.concat(F.lit("SITE_"), "eventType").alias("kind")).agg(
@@ -627,12 +626,13 @@ def monitor_log(spark, folder):
 @query
 def monitor_throughput(spark, folder):
     """Cumulative records per site and day."""
-    return throughput(windows.with_slot(events(spark, folder), DAY), DAY)
+    counted = throughput(windows.with_slot(events(spark, folder), DAY), DAY)
+    return counted.select("eventTS", "nodeID", "events")
 
 
 @query
 def monitor_stream_exact(spark, folder):
-    """The gate over a stream of the event files; the last day stays open."""
+    """The gate over a stream of the event files, to the end."""
     schema = _table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
     records = stream.select(
@@ -644,9 +644,25 @@ def monitor_stream_exact(spark, folder):
     root = WorkArea(spark, "stream").path
     run, outcome = monitor_stream(records, root, SITES, DAY, EPS, "exact", warmup_ms=WARM_DAYS * DAY)
     run.awaitTermination()
+    outcome.finish()
     return outcome.output().select("round", "ts", "estimate")
 
 
+@query
+def monitor_stream_late(spark, folder):
+    """Three micro-batches; one event in 50 comes a batch late and joins the first day that is still open."""
+    daily = _daily(spark, folder)
+    batch = F.when(F.col("day") < LATE_DAYS[0], 0).when(F.col("day") < LATE_DAYS[1], 1).otherwise(2)
+    records = daily.withColumn("batch", F.least(batch + (F.col("event_id") % 50 == 0).cast("int"), F.lit(2)))
+    root = WorkArea(spark, "stream").path
+    config = GateConfig(SITES, DAY, WARM_DAYS * DAY)
+    run = StreamMonitor(spark, root, ExactF2(EPS), config, None)
+    for i in range(3):
+        run.process(records.filter(F.col("batch") == i).select("site", "ts_ms", "x", "val"), i)
+    run.finish()
+    return run.output().select("round", "ts", "estimate")
+
+
 # -- protocol logs
 
 
@@ -690,17 +706,17 @@ def log_elapsed(spark, folder):
 
 @query
 def log_events(spark, folder):
-    return logs.events_over_time(_throughput(spark, folder), SITES).select("nodeID", "seq", _r("elapsed"), "events")
+    return logs.events_over_time(_throughput(spark, folder)).select("nodeID", "seq", _r("elapsed"), "events")
 
 
 @query
 def log_derivative(spark, folder):
-    return logs.derivative(_throughput(spark, folder), 3 * 3600, SITES).select("nodeID", "bucket", "rate")
+    return logs.derivative(_throughput(spark, folder), 3 * 3600).select("nodeID", "bucket", "rate")
 
 
 @query
 def log_mean_throughput(spark, folder):
-    series = logs.mean_throughput(_throughput(spark, folder), SITES)
+    series = logs.mean_throughput(_throughput(spark, folder))
     return series.select("nodeID", "seq", _r("elapsed"), "rate")
 
 
@@ -726,7 +742,7 @@ def log_inc_per_subround(spark, folder):
 
 @query
 def log_inc_total(spark, folder):
-    series = logs.cumulative_increments(_log(spark, folder), nodes=SITES)
+    series = logs.cumulative_increments(_log(spark, folder))
     return series.select("nodeID", "seq", _r("elapsed"), "increments")
 
 
@@ -743,5 +759,5 @@ def log_compare_k(spark, folder):
     for k in KS:
         nodes = ranked.withColumn("nodeID", site_of(F.col("seq"), k))
         counted = ordering.running_sum(nodes, F.lit(1).cast("bigint"), "events", ["nodeID"])
-        runs[k] = logs.derivative(counted, 86_400, k).select("nodeID", "bucket", "rate")
+        runs[k] = logs.derivative(counted, 86_400).select("nodeID", "bucket", "rate")
     return logs.compare(runs)

@@ -38,8 +38,12 @@ class MonitorSpec:
         """Events ``(site, slot, ...)`` to signed cell rows ``(site, slot, keys, values)``."""
         raise NotImplementedError
 
-    def zone(self, estimate: DataFrame) -> Zone | None:
-        """Numbers of the safe zone around an estimate; None where it has no interior."""
+    def zone(self, estimate: DataFrame, k: int = 1) -> Zone | None:
+        """Numbers of the safe zone around ``estimate / k``; None where it has no interior.
+
+        Estimates stay undivided sums over the k sites: sums of whole weights are exact in any order, so batch runs,
+        streams and retries agree to the last bit. Dividing is left to the few numbers of the zone.
+        """
         raise NotImplementedError
 
     def answer(self, zone: Zone) -> float:
@@ -64,8 +68,18 @@ class MonitorSpec:
     def scale(self, a: DataFrame, c: float) -> DataFrame:
         return a.withColumns({v: F.col(v) * F.lit(float(c)) for v in self.values})
 
-    def phi_series(self, deltas: DataFrame, estimate: DataFrame, zone: Zone, lam: float = 1.0) -> DataFrame:
-        """phi of every site's drift after every slot in which it changed.
+    def phi_series(
+        self,
+        deltas: DataFrame,
+        estimate: DataFrame,
+        zone: Zone,
+        lam: float = 1.0,
+        k: int = 1,
+        weight: float = 1.0,
+    ) -> DataFrame:
+        """phi of every site's drift, times ``weight``, after every slot in which it changed.
+
+        ``estimate`` is a sum over k sites, of which the mean counts.
 
         ``deltas (site, slot, keys, values)`` start from a zero drift. Square sums and projections of
         ``E + X`` are running sums over the changed cells, so the cost does not depend on the vector size,
@@ -73,15 +87,15 @@ class MonitorSpec:
         (site, slot) with any change has a sum for each row.
         """
         named = [F.col(v).alias(f"e_{v}") for v in self.values]
-        scaled = self.scale(deltas, 1.0 / lam) if lam != 1.0 else deltas
-        joined = attach(scaled, estimate.select(*self.keys, *named), self.keys, "left", row_bound=self.cell_bound)
+        joined = attach(deltas, estimate.select(*self.keys, *named), self.keys, "left", row_bound=self.cell_bound)
         history = (
             Window.partitionBy("site", *self.keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
         )
         joined = joined.fillna(0.0, [f"e_{v}" for v in self.values]).withColumns(
             {f"after_{v}": F.sum(v).over(history) for v in self.values}
         )
-        sums = [F.expr(f"sum({v} * (2 * (e_{v} + after_{v}) - {v}))").alias(f"grown_{v}") for v in self.values]
+        # without E and with it; both stay whole for whole weights
+        sums = [F.expr(f"sum({v} * (2 * after_{v} - {v}))").alias(f"grown_{v}") for v in self.values]
         sums += [F.expr(f"sum({v} * e_{v})").alias(f"along_{v}") for v in self.values]
         changes = joined.groupBy("site", "slot", *self.rows).agg(*sums)
         parts = ", ".join(("site", *self.rows))
@@ -89,6 +103,14 @@ class MonitorSpec:
         names = [c for c in changes.columns if c.startswith(("grown_", "along_"))]
         # at most one row per slot and sketch row of a site; this partitioning also serves the scoring
         running = changes.repartition("site").selectExpr("site", "slot", *self.rows, *[f"sum({n}) {up_to_here} as {n}" for n in names])
+        c = weight / lam
+        running = running.withColumns(
+            {f"along_{v}": F.col(f"along_{v}") * F.lit(c / k) for v in self.values}
+            | {
+                f"grown_{v}": F.col(f"along_{v}") * F.lit(2 * c / k) + F.col(f"grown_{v}") * F.lit(c * c)
+                for v in self.values
+            }
+        )
         scored = self.score(running, zone)
         return scored.withColumn("phi", F.col("phi") * F.lit(lam)) if lam != 1.0 else scored
 
@@ -102,8 +124,8 @@ class ExactF2(MonitorSpec):
     def contributions(self, events: DataFrame) -> DataFrame:
         return events.select("site", "slot", "x", F.col("val").cast("double").alias("v"))
 
-    def zone(self, estimate: DataFrame) -> Zone | None:
-        f2 = estimate.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
+    def zone(self, estimate: DataFrame, k: int = 1) -> Zone | None:
+        f2 = (estimate.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0) / (k * k)
         return {"norm": f2**0.5, "f2": f2} if f2 else None
 
     def answer(self, zone: Zone) -> float:
@@ -135,11 +157,11 @@ class SketchF2(MonitorSpec):
     def contributions(self, events: DataFrame) -> DataFrame:
         return sketch.spread(events.select("site", "slot", "x", "val"), self.shape)
 
-    def zone(self, estimate: DataFrame) -> Zone | None:
+    def zone(self, estimate: DataFrame, k: int = 1) -> Zone | None:
         lengths = estimate.groupBy("d").agg(F.sum(F.col("v") * F.col("v")).alias("n2")).collect()
         n2 = [0.0] * self.depth
         for row in lengths:
-            n2[row["d"]] = row["n2"]
+            n2[row["d"]] = row["n2"] / (k * k)
         f2 = sorted(n2)[self.depth // 2]
         if f2 <= 0:
             return None
@@ -208,11 +230,11 @@ class SketchJoin(MonitorSpec):
         y = F.when(F.col("rel") == 0, F.col("v")).otherwise(-F.col("v"))
         return cells.select("site", "slot", *self.keys, F.col("v").alias("x"), y.alias("y"))
 
-    def zone(self, estimate: DataFrame) -> Zone | None:
+    def zone(self, estimate: DataFrame, k: int = 1) -> Zone | None:
         lengths = estimate.groupBy("d").agg(F.expr("sum(x * x)").alias("x2"), F.expr("sum(y * y)").alias("y2"))
         x2, y2 = np.zeros(self.depth), np.zeros(self.depth)
         for row in lengths.collect():
-            x2[row["d"]], y2[row["d"]] = row["x2"], row["y2"]
+            x2[row["d"]], y2[row["d"]] = row["x2"] / (k * k), row["y2"] / (k * k)
         size = float(np.sort((x2 - y2) / 4.0)[self.depth // 2])
         if size == 0:
             return None

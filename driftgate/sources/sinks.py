@@ -19,7 +19,7 @@ def write_estimates(estimates: DataFrame, path: str, fmt: str = "csv") -> None:
 def write_logs(result: MonitorResult, folder: str, fmt: str = "parquet") -> None:
     """Append the three metric logs of a run below ``folder``."""
     logs = {
-        "throughput": result.throughput.select("eventTS", "nodeID", "events"),
+        "throughput": result.throughput.select("realTS", "eventTS", "nodeID", "events"),
         "site": result.site_log,
         "centre": result.centre_log,
     }

@@ -26,7 +26,7 @@ def _draw(row: Column, which: int, n: int, seed: int) -> Column:
 def synthetic_events(
     ids: DataFrame,
     start_ms: int = 0,
-    records: int = 1_000_000,
+    records: int | None = None,
     records_per_sec: int = 10,
     key_range: int = 100,
     gap: int = 5,
@@ -34,7 +34,7 @@ def synthetic_events(
     seed: int = 512,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One event per row of ``ids (id)`` with ids 0, 1, 2, ...; rows beyond ``records`` ticks are left out."""
+    """One event per row of ``ids (id)`` with ids 0, 1, 2, ...; a run of limited length ends after ``records`` ticks."""
     row = F.col("id").cast("bigint")
     drawn = ids.select(
         row.alias("id"),
@@ -45,7 +45,8 @@ def synthetic_events(
     )
     timed = running_sum(drawn, F.col("step"), "reached", order="id").withColumn("tick", F.col("reached") - F.col("step"))
     tick_ms = 1000 // records_per_sec
-    return timed.filter(F.col("tick") <= records).select(
+    timed = timed if records is None else timed.filter(F.col("tick") <= records)
+    return timed.select(
         "id",
         "site",
         (F.lit(start_ms).cast("bigint") + F.col("tick") * tick_ms).alias("ts_ms"),

@@ -1,25 +1,22 @@
-"""The drift gate over a stream.
+"""The drift gate over a stream; no event is lost.
 
-The stream itself only sums events to slot deltas; a watermark decides when a slot is complete. Each
-micro-batch of complete slots is then walked by the same gate as a batch run. What a micro-batch needs from
-the past is versioned by batch id, so a repeated batch starts from the same state and overwrites its own output.
+Each micro-batch is summed to slot totals. A slot is complete once the newest event time seen, less the allowed
+lateness, lies in a later slot; complete slots are walked by the same gate as in a batch run. An event that comes later
+than that joins the first open slot. ``finish`` walks the slots that are still open when the source has ended.
+
+What a micro-batch needs from the past is versioned by batch id, so a repeated batch starts from the same state and
+replaces its own output. If that past is missing the batch fails.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftgate.operators.windows import slots_per_window
-from driftgate.plans.gate import (
-    CENTRE_SCHEMA,
-    ESTIMATE_SCHEMA,
-    SITE_SCHEMA,
-    Gate,
-    GateConfig,
-    GateState,
-    withdrawals,
-)
+from driftgate.operators.windows import slots_per_window, with_slot
+from driftgate.plans.gate import LOG_SCHEMAS, Gate, GateConfig, GateState, stored_log, withdrawals
 from driftgate.plans.spec import MonitorSpec, named_spec
 from driftgate.session import WorkArea
 
@@ -37,85 +34,152 @@ class _StreamGate(Gate):
 
 
 class StreamMonitor:
-    """State and output tables of one gated stream under ``root``."""
+    """State and output tables of one gated stream under ``root``.
 
-    def __init__(self, spark: SparkSession, root: str, spec: MonitorSpec, config: GateConfig, n_slots: int | None):
-        self.work = WorkArea(spark, "stream", root.rstrip("/"))
-        self.spec, self.config, self.n_slots = spec, config, n_slots
+    Tables by batch id: ``drift`` has the open round's changes, ``pending`` the totals of open slots, ``window`` the
+    totals of the slots this batch walked. Window tables are written once and read again only when their slots leave.
+    """
 
-    def deltas(self, events: DataFrame, lateness: str) -> DataFrame:
-        """Complete slots only: ``(site, slot window, keys, values)`` in append mode."""
-        timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", lateness)
-        slot = F.window("ts", f"{self.config.slide_ms} milliseconds")
-        return self.spec.collect_cells(self.spec.contributions(timed.withColumn("slot", slot)), ("site", "slot"))
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        spec: MonitorSpec,
+        config: GateConfig,
+        n_slots: int | None,
+        lateness_ms: int = 0,
+    ):
+        self.work = WorkArea(spark, "stream", root.rstrip("/"))
+        self.spec, self.config, self.n_slots, self.lateness_ms = spec, config, n_slots, lateness_ms
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        """One micro-batch of events ``(site, ts_ms, x, val)``."""
         if self.work.complete(f"state/{batch_id}"):
             return
-        state, carried, window = self._past(batch_id)
-        work, spec = self.work, self.spec
-        cols = ["site", "slot", *spec.keys, *spec.values]
-        start_ms = F.unix_millis(F.col("slot.start"))
-        fresh = work.save(
-            batch.withColumn("slot", F.floor(start_ms / F.lit(self.config.slide_ms)).cast("bigint")).select(*cols),
-            f"fresh/{batch_id}",
-        )
-        last = fresh.agg(F.max("slot")).first()[0]
+        if self.work.complete("finished"):
+            raise RuntimeError("this stream has been finished")
+        past = self._past(batch_id - 1)
+        slotted = with_slot(batch, self.config.slide_ms)
+        if past["walked"] is not None:
+            slotted = slotted.withColumn("slot", F.greatest("slot", F.lit(past["walked"] + 1).cast("bigint")))
+        batch.persist()
+        try:
+            newest = batch.agg(F.max("ts_ms")).first()[0]
+            fresh = self.spec.collect_cells(self.spec.contributions(slotted), ("site", "slot"))
+            fresh = self.work.save(fresh.select(*self._columns), f"fresh/{batch_id}")
+        finally:
+            batch.unpersist()
+        if newest is not None:
+            past["newest"] = max(newest, past["newest"] if past["newest"] is not None else newest)
+        upto = None
+        if past["newest"] is not None:
+            upto = (past["newest"] - self.lateness_ms) // self.config.slide_ms - 1
+        self._step(past, fresh, upto, batch_id)
+        self.work.drop(f"fresh/{batch_id}")
+
+    def finish(self) -> None:
+        """The source has ended: walk the slots that are still open. The stream can't be continued afterwards."""
+        if self.work.complete("finished"):
+            return
+        done = [int(n) for n in self.work.names("state") if self.work.complete(f"state/{n}")]
+        if not done:
+            return
+        past = self._past(max(done))
+        if past["pending"] is not None:
+            upto = past["pending"].agg(F.max("slot")).first()[0]
+            self._step(past, None, upto, max(done) + 1)
+        self.work.save_text("done", "finished")
+
+    @property
+    def _columns(self) -> list[str]:
+        return ["site", "slot", *self.spec.keys, *self.spec.values]
+
+    def _past(self, batch_id: int) -> dict:
+        if batch_id < 0:
+            return {
+                "gate": GateState(), "walked": None, "newest": None, "windows": [], "drift": None, "pending": None,
+                "batch": batch_id,
+            }
+        if not self.work.complete(f"state/{batch_id}"):
+            raise RuntimeError(f"the state of micro-batch {batch_id} is missing below {self.work.path}")
+        past = json.loads(self.work.load_text(f"state/{batch_id}"))
+        past["gate"] = GateState(**past["gate"])
+        for table in ("drift", "pending"):
+            stored = self.work.complete(f"{table}/{batch_id}")
+            past[table] = self.work.load(f"{table}/{batch_id}") if stored else None
+        return past | {"batch": batch_id}
+
+    def _step(self, past: dict, fresh: DataFrame | None, upto: int | None, batch_id: int) -> None:
+        """Walk the slots up to ``upto`` and write everything the next batch needs, the state last."""
+        work, spec, state, walked = self.work, self.spec, past["gate"], past["walked"]
+        for name in LOG_SCHEMAS:  # what a failed attempt left
+            work.drop(f"{name}/batch={batch_id}")
+        parts = [t for t in (past["pending"], fresh) if t is not None]
+        pending = parts[0] if len(parts) == 1 else spec.collect_cells(parts[0].unionByName(parts[1]), ("site", "slot"))
         gate = _StreamGate(spec, self.config, work, state)
-        if last is not None:
-            moved = fresh
+        gate.batch = batch_id
+        drift, windows = past["drift"], past["windows"]
+        if upto is not None and (walked is None or upto > walked):
+            ready = pending.filter(F.col("slot") <= upto)
+            pending = pending.filter(F.col("slot") > upto)
+            moved = ready
             if self.n_slots:
-                window = fresh if window is None else window.unionByName(fresh)
-                left = withdrawals(spec, window, self.n_slots).filter(F.col("slot") <= last)
-                if state.pos is not None:
-                    left = left.filter(F.col("slot") > state.pos)
-                moved = spec.collect_cells(fresh.unionByName(left), ("site", "slot"))
-                window = window.filter(F.col("slot") > last - self.n_slots)
-            if carried is not None:
-                moved = carried.unionByName(moved.select(*cols))
-            gate.advance(moved, last)
-            carried = self._compact(moved, state, last)
-        if carried is not None:
-            work.save(carried.select(*cols), f"carried/{batch_id}")
-        if window is not None:
-            work.save(window.select(*cols), f"window/{batch_id}")
-        log = gate.log
-        for name, rows, schema in (
-            ("estimates", log.estimates, ESTIMATE_SCHEMA),
-            ("centre", log.centre, CENTRE_SCHEMA),
-            ("site", log.site, SITE_SCHEMA),
-        ):
-            work.save(work.spark.createDataFrame(rows, schema), f"{name}/batch={batch_id}")
-        work.save_text(gate.state.to_json(), f"state/{batch_id}")
+                ready = work.save(ready, f"window/{batch_id}")
+                low, high = ready.agg(F.min("slot"), F.max("slot")).first()
+                if low is not None:
+                    windows = [*windows, [batch_id, low, high]]
+                # a slot leaves n_slots later; windows apart from that range are not read
+                first = None if walked is None else walked - self.n_slots
+                leaving = [
+                    work.load(f"window/{b}", ready.schema)
+                    for b, low, high in windows
+                    if low <= upto - self.n_slots and (first is None or high > first)
+                ]
+                moved = ready
+                for table in leaving:
+                    gone = withdrawals(spec, table, self.n_slots).filter(F.col("slot") <= upto)
+                    moved = moved.unionByName(gone if walked is None else gone.filter(F.col("slot") > walked))
+                moved = spec.collect_cells(moved, ("site", "slot"))
+            moved = moved if drift is None else drift.unionByName(moved.select(*self._columns))
+            gate.advance(moved, upto)
+            drift, walked = self._compact(moved, state, upto), upto
+        if drift is not None:
+            work.save(drift.select(*self._columns), f"drift/{batch_id}")
+        work.save(pending.select(*self._columns), f"pending/{batch_id}")
+        gate.flush()
+        gone = [w for w in windows if walked is not None and w[2] <= walked - (self.n_slots or 0)]
+        record = {
+            "gate": json.loads(state.to_json()),
+            "walked": walked,
+            "newest": past["newest"],
+            "windows": [w for w in windows if w not in gone],
+        }
+        work.save_text(json.dumps(record), f"state/{batch_id}")
+        # the batch is committed: free what no repetition needs
         for round_ in gate.replaced:
             work.drop(f"estimate-{round_}")
-        for table in ("state", "carried", "window"):
+        for table in ("state", "drift", "pending"):
             work.drop(f"{table}/{batch_id - 2}")
-        work.drop(f"fresh/{batch_id}")
-
-    def _past(self, batch_id: int) -> tuple[GateState, DataFrame | None, DataFrame | None]:
-        before = batch_id - 1
-        if not self.work.complete(f"state/{before}"):
-            return GateState(), None, None
-        tables = [
-            self.work.load(f"{t}/{before}") if self.work.complete(f"{t}/{before}") else None
-            for t in ("carried", "window")
-        ]
-        return GateState.from_json(self.work.load_text(f"state/{before}")), *tables
-
-    def _compact(self, moved: DataFrame, state: GateState, last: int) -> DataFrame:
-        """Drift of the open round: one total per cell and site, split where a rebalance cut it."""
+        for b, *_ in gone:
+            work.drop(f"window/{b}")
+
+    def _compact(self, moved: DataFrame, state: GateState, upto: int) -> DataFrame:
+        """Drift of the open round: one total per cell and site, split where a rebalance cut it.
+
+        During warm-up it sits at the last slot that has data, where the first answer will be published.
+        """
         if state.closed is None:
-            return moved
-        slot = F.when(F.col("slot") <= state.drift_from, F.lit(state.drift_from)).otherwise(F.lit(last))
+            return self.spec.collect_cells(
+                moved.withColumn("slot", F.lit(moved.agg(F.max("slot")).first()[0]).cast("bigint")), ("site", "slot")
+            )
+        slot = F.when(F.col("slot") <= state.drift_from, F.lit(state.drift_from)).otherwise(F.lit(upto))
         return self.spec.collect_cells(
             moved.filter(F.col("slot") > state.closed).withColumn("slot", slot.cast("bigint")), ("site", "slot")
         )
 
     def output(self, name: str = "estimates") -> DataFrame:
         """Everything written so far: ``estimates``, ``centre`` or ``site``."""
-        schema = {"estimates": ESTIMATE_SCHEMA, "centre": CENTRE_SCHEMA, "site": SITE_SCHEMA}[name]
-        return self.work.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.work.path}/{name}")
+        return stored_log(self.work, name)
 
 
 def monitor_stream(
@@ -130,22 +194,20 @@ def monitor_stream(
     rebalance: bool = False,
     mqf: float = 0.01,
     shape=None,
-    lateness: str = "0 seconds",
+    lateness_ms: int = 0,
     lookahead: int = 32,
     **trigger,
 ) -> tuple[StreamingQuery, StreamMonitor]:
     """Start the gated query on a stream of events ``(site, ts_ms, x, val)``.
 
     ``root`` is a folder all executors reach; it holds checkpoint, state and output. The default trigger
-    drains what is available and stops.
+    drains what is available and stops; call ``finish`` when nothing more will come.
     """
     config = GateConfig(k, slide_ms, warmup_ms, mqf, rebalance, lookahead)
     n_slots = slots_per_window(window_ms, slide_ms) if window_ms else None
-    run = StreamMonitor(events.sparkSession, root, named_spec(query, eps, shape), config, n_slots)
+    run = StreamMonitor(events.sparkSession, root, named_spec(query, eps, shape), config, n_slots, lateness_ms)
     query_ = (
-        run.deltas(events, lateness)
-        .writeStream.outputMode("append")
-        .option("checkpointLocation", f"{run.work.path}/checkpoint")
+        events.writeStream.option("checkpointLocation", f"{run.work.path}/checkpoint")
         .foreachBatch(run.process)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -91,7 +91,7 @@ def test_site_profiles(spark):
     df = spark.createDataFrame([(int(s),) for s in servers], "server bigint")
     cover = {(r["hash"], r["k"]): r["sites_hit"] for r in profiles.site_coverage(df, "server").collect()}
     assert all(cover["raw", k] == len({int(s) % k for s in servers}) for k in range(2, 28))
-    assert {h for h, _ in cover} == {"raw", "text_hash", "double_text_hash", "md5", "mixed"}
+    assert {h for h, _ in cover} == {"raw", "text_hash", "double_text_hash", "md5", "sha"}
     assert sum(r["records"] for r in profiles.site_load(df, "server", 5).collect()) == 26
 
 
