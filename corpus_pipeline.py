@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftgate.llm import decontaminate, jaccard, mixture, ordinal, pii
-from driftgate.session import WorkArea
+from driftgate.session import WorkArea, ship_package
 
 
 def _given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -25,6 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
+    ship_package(spark)
     return jaccard.distinct_documents(docs, WorkArea(spark, "pipeline-jaccard"))
 
 
@@ -35,6 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; ``n_chars`` follows the text."""
+    ship_package(spark)
     masked = pii.annotate(docs, masked=True).select(docs.columns)
     if "n_chars" not in docs.columns:
         return masked

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, neighbours, ordinal, pii, tokens, urls
-from driftgate.session import WorkArea
+from driftgate.session import WorkArea, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,6 +28,7 @@ def all_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)  # tasks import the operators' modules
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
