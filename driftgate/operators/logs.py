@@ -52,6 +52,17 @@ def derivative(throughput: DataFrame, h: float) -> DataFrame:
     return buckets.select("nodeID", "bucket", (growth / F.lit(float(h))).alias("rate"))
 
 
+def event_rate(log: DataFrame, h: float, by: Sequence[str] = ("nodeID",)) -> DataFrame:
+    """The derivative of each group's event count, from the events themselves: rows per ``h``-second bucket since the
+    group's first, divided by ``h``. The first event starts the count and is no growth."""
+    starts = log.groupBy(*by).agg(F.min("realTS").alias("_start"))
+    elapsed = _seconds_since(F.col("_start"))
+    bucket = F.floor(elapsed / F.lit(float(h))).cast("bigint").alias("bucket")
+    counted = attach(log.select(*by, "realTS"), starts, by).groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("n"))
+    growth = F.col("n") - F.when(F.col("bucket") == 0, 1).otherwise(0)
+    return counted.select(*by, "bucket", (growth / F.lit(float(h))).alias("rate"))
+
+
 def mean_throughput(throughput: DataFrame) -> DataFrame:
     """Events per second since the node's first row; null where no time has passed."""
     series = events_over_time(throughput)

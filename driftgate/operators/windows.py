@@ -20,7 +20,10 @@ CHUNK_MS = 1 << 20
 
 
 def slot_of(ts_ms: Column, slide_ms: int) -> Column:
-    return F.floor(ts_ms / F.lit(slide_ms)).cast("bigint")
+    """Whole-number division, exact for times of any size."""
+    ms = F.lit(slide_ms).cast("bigint")
+    whole = ts_ms.cast("bigint")
+    return F.call_function("div", whole - F.pmod(whole, ms), ms)
 
 
 def with_slot(events: DataFrame, slide_ms: int) -> DataFrame:

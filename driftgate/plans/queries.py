@@ -48,8 +48,6 @@ def all_queries() -> dict[str, Query]:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    # times in the files carry no zone; they are read as UTC
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -61,7 +59,8 @@ def _type_code() -> Column:
 
 
 def _time_ms() -> Column:
-    return F.unix_millis(F.col("ts").cast("timestamp"))
+    """Times in the files carry no zone and count as UTC, whatever the session's zone is."""
+    return F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
 
 
 def events(spark: SparkSession, folder: str, k: int = SITES) -> DataFrame:
@@ -81,8 +80,8 @@ def events(spark: SparkSession, folder: str, k: int = SITES) -> DataFrame:
 def _daily(spark: SparkSession, folder: str) -> DataFrame:
     """Events with their day as ``slot`` and the day's number in the table."""
     slotted = windows.with_slot(events(spark, folder), DAY)
-    first = slotted.agg(F.min("slot")).scalar()
-    return slotted.withColumn("day", F.col("slot") - first)
+    first = slotted.agg(F.min("slot")).first()[0]  # one number, so that no branch of a plan looks it up again
+    return slotted.withColumn("day", F.col("slot") - F.lit(first).cast("bigint"))
 
 
 def _before(daily: DataFrame) -> DataFrame:
@@ -95,7 +94,8 @@ def _after(daily: DataFrame) -> DataFrame:
 
 def _exact_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     daily = _daily(spark, folder)
-    return vectors.build(_after(daily), ("site", "slot")), vectors.mean(vectors.build(_before(daily)), SITES)
+    estimate = _published(vectors.mean(vectors.build(_before(daily)), SITES))
+    return vectors.build(_after(daily), ("site", "slot")), estimate
 
 
 def _sketch_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -754,10 +754,6 @@ def log_time_vs_time(spark, folder):
 @query
 def log_compare_k(spark, folder):
     """Throughput derivative of runs with different numbers of sites, in one table."""
-    ranked = _ranked_log(spark, folder)
-    runs = {}
-    for k in KS:
-        nodes = ranked.withColumn("nodeID", site_of(F.col("seq"), k))
-        counted = ordering.running_sum(nodes, F.lit(1).cast("bigint"), "events", ["nodeID"])
-        runs[k] = logs.derivative(counted, 86_400).select("nodeID", "bucket", "rate")
-    return logs.compare(runs)
+    ks = F.explode(F.array(*[F.lit(k).cast("bigint") for k in KS])).alias("k")
+    sited = _log(spark, folder).select("seq", "realTS", ks).withColumn("nodeID", F.pmod("seq", "k"))
+    return logs.event_rate(sited, 86_400, ("k", "nodeID"))

@@ -155,7 +155,9 @@ class SketchF2(MonitorSpec):
         self.cell_bound = self.shape.cells
 
     def contributions(self, events: DataFrame) -> DataFrame:
-        return sketch.spread(events.select("site", "slot", "x", "val"), self.shape)
+        # repeated keys of a slot meet before each becomes one row per sketch row
+        summed = events.groupBy("site", "slot", "x").agg(F.sum(F.col("val").cast("double")).alias("val"))
+        return sketch.spread(summed, self.shape)
 
     def zone(self, estimate: DataFrame, k: int = 1) -> Zone | None:
         lengths = estimate.groupBy("d").agg(F.sum(F.col("v") * F.col("v")).alias("n2")).collect()
@@ -226,7 +228,8 @@ class SketchJoin(MonitorSpec):
         self.cell_bound = self.shape.cells
 
     def contributions(self, events: DataFrame) -> DataFrame:
-        cells = sketch.spread(events.select("site", "slot", "rel", "x", "val"), self.shape)
+        summed = events.groupBy("site", "slot", "rel", "x").agg(F.sum(F.col("val").cast("double")).alias("val"))
+        cells = sketch.spread(summed, self.shape)
         y = F.when(F.col("rel") == 0, F.col("v")).otherwise(-F.col("v"))
         return cells.select("site", "slot", *self.keys, F.col("v").alias("x"), y.alias("y"))
 

@@ -140,3 +140,34 @@ def test_watermark_decides_which_windows_are_closed(spark, tmp_path):
         )
         query.awaitTermination()
         assert spark.read.parquet(str(out)).count() == closed
+
+
+def test_event_rate_equals_derivative_of_the_count(spark):
+    stamps = [(k, i * i * 37 % 9000 + k) for k in (0, 1) for i in range(60)]
+    log = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(stamps)], "seq bigint, realTS bigint, nodeID bigint")
+    counted = log.selectExpr("*", "count(*) over (partition by nodeID order by realTS, seq) as events")
+    mine, theirs = logs.event_rate(log, 1.5), logs.derivative(counted, 1.5)
+    assert sorted(mine.collect()) == sorted(theirs.select(mine.columns).collect())
+
+
+def test_work_area_is_freed(spark, tmp_path):
+    from pathlib import Path
+
+    from driftgate.session import WorkArea
+
+    with WorkArea(spark, "freed") as area:
+        area.save(spark.range(3), "rows")
+        folder = Path(area.path.removeprefix("file:"))
+        assert folder.exists() and area.names(".") == ["rows"]
+    assert not folder.exists()
+
+
+def test_throughput_log_feeds_the_analytics(spark):
+    from driftgate.operators.windows import with_slot
+    from driftgate.plans.gate import throughput
+
+    events = spark.createDataFrame([(i % 2, i * 100) for i in range(100)], "site bigint, ts_ms bigint")
+    log = throughput(with_slot(events, 1000), 1000, clock=F.col("slot") * 1000).withColumn("seq", F.col("eventTS") * 2 + F.col("nodeID"))
+    rates = logs.derivative(log, 2.0).filter("bucket > 0")
+    assert {r["rate"] for r in rates.collect()} == {5.0}
+    assert logs.mean_throughput(log).filter("elapsed > 0").count() == 18
