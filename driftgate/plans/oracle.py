@@ -228,13 +228,16 @@ def _signed(by: str, window_days: int | None) -> str:
     return f"delta AS (SELECT site, slot, {by}, sum(v) AS v FROM ({base}) GROUP BY ALL)"
 
 
-def _walk(phi_ctes: list[str], rebalance: bool) -> str:
+def _ev(k: int) -> str:
+    return EV.replace(f"event_id % {SITES} AS site", f"event_id % {k} AS site")
+
+
+def _walk(phi_ctes: list[str], rebalance: bool, k: int = SITES) -> str:
     """Replay of the protocol over slots.
 
     Needs ``start (r, phi0, f2)`` per possible round start and ``ph (r, b, s, phis)``: phi of all sites at slot
     s for drifts since b under the estimate of r; with rebalancing also ``bal (r, b, psi_beta)``.
     """
-    k = SITES
     lam = "CASE WHEN b = r THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END"
     fill = lambda expr: f"list_transform(range({k}), lambda i: {expr})"
     psi_beta = "coalesce((SELECT psi_beta FROM bal WHERE bal.r = n.r AND bal.b = n.b), CAST(0 AS DOUBLE))" if rebalance else "CAST(0 AS DOUBLE)"
@@ -270,14 +273,14 @@ def _walk(phi_ctes: list[str], rebalance: bool) -> str:
     )
 
 
-def _monitor_parts(kind: str, window_days: int | None, rebalance: bool) -> list[str]:
+def _monitor_parts(kind: str, window_days: int | None, rebalance: bool, k: int = SITES) -> list[str]:
     """CTEs warm, start, ph (and bal) of the exact or the sketch form."""
     by = "x" if kind == "exact" else "d, w"
     eps = _dbl(EPS)
     if kind == "exact":
-        parts = [EV, "delta0 AS (SELECT site, slot, x, sum(val) AS v FROM ev GROUP BY ALL)"]
+        parts = [_ev(k), "delta0 AS (SELECT site, slot, x, sum(val) AS v FROM ev GROUP BY ALL)"]
     else:
-        parts = [EV, SEEDS, cells("delta0", "ev", "site, slot")]
+        parts = [_ev(k), SEEDS, cells("delta0", "ev", "site, slot")]
     span = "r = b OR r < b" if rebalance else "r = b"
     on_k = ", ".join(f"k.{c}" for c in by.split(", "))
     same = " AND ".join(f"delta.{c} = k.{c}" for c in by.split(", "))
@@ -287,9 +290,9 @@ def _monitor_parts(kind: str, window_days: int | None, rebalance: bool) -> list[
         "slots AS (SELECT unnest(range(warm, top + 1)) AS s FROM warm)",
         f"keys AS (SELECT DISTINCT {by} FROM delta)",
         f"""cum AS (SELECT k.s, k.site, {on_k}, coalesce(sum(v), 0) AS v
-  FROM (SELECT s, site, {by} FROM slots, range({SITES}) q(site), keys) AS k
+  FROM (SELECT s, site, {by} FROM slots, range({k}) q(site), keys) AS k
   LEFT JOIN delta ON delta.site = k.site AND delta.slot <= k.s AND {same} GROUP BY ALL)""",
-        f"est AS (SELECT s AS r, {by}, sum(v) / {SITES} AS e FROM cum GROUP BY ALL)",
+        f"est AS (SELECT s AS r, {by}, sum(v) / {k} AS e FROM cum GROUP BY ALL)",
         f"trip AS (SELECT a.s AS r, m.s AS b, z.s AS s FROM slots a, slots m, slots z WHERE a.s <= m.s AND m.s < z.s AND (m.s = a.s {'OR true' if rebalance else ''}))",
     ]
     scale = "CASE WHEN t.b = t.r THEN CAST(1 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END"
@@ -625,6 +628,19 @@ m AS (
 SELECT CAST(s * {DAY} AS BIGINT) AS "eventTS", kind, CAST(n AS BIGINT) AS n FROM m WHERE n > 0"""
 
 
+def _compare_gates() -> str:
+    """Ordinals of rounds and subrounds of the exact run over event time, for each number of sites."""
+    runs = []
+    for k in KS:
+        walk = _walk(_monitor_parts("exact", None, False, k), False, k)
+        runs.append(f"""SELECT {k} AS k, * FROM ({walk}, h AS (
+  SELECT w.s, w.emitted, p.s IS NOT NULL AND (w.emitted OR w.q <> p.q) AS ended FROM walk w LEFT JOIN walk p ON p.s = w.s - 1),
+m AS (SELECT s, 'ROUND' AS kind FROM h WHERE emitted UNION ALL SELECT s, 'SUBROUND' FROM h WHERE ended)
+SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY s) AS ordinal,
+  (s - min(s) OVER ()) * CAST({DAY // 1000} AS DOUBLE) AS elapsed FROM m)""")
+    return "SELECT CAST(k AS BIGINT) AS k, kind, ordinal, elapsed FROM (" + " UNION ALL ".join(runs) + ")"
+
+
 def all_sql() -> dict[str, str]:
     ev = _with(EV)
     vec = _with(EV, VEC)
@@ -729,6 +745,12 @@ WHERE (slot + 1) * {DAY} <= (SELECT max(ts_ms) FROM ev) - {6 * HOUR} GROUP BY si
 FROM ev GROUP BY site, slot""",
         "monitor_stream_exact": _monitor("exact"),
         "monitor_stream_late": _monitor("exact", late=True),
+        "gate_compare_k": _compare_gates(),
+        "sink_answers": f"SELECT ts, estimate FROM ({_monitor('exact')})",
+        "sink_logs": f"""SELECT log, kind, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'centre' AS log, kind, sum(n) AS n FROM ({_monitor_log()}) WHERE kind NOT LIKE 'SITE%' GROUP BY kind
+  UNION ALL SELECT 'site', substr(kind, 6), sum(n) FROM ({_monitor_log()}) WHERE kind LIKE 'SITE%' GROUP BY kind
+  UNION ALL SELECT 'throughput', CAST(site AS VARCHAR), count(*) FROM ({ev} SELECT site FROM ev) GROUP BY site)""",
         "log_node": logw + "SELECT seq, \"realTS\", CASE b WHEN 2 THEN 'RECEIVED_ESTIMATE' WHEN 3 THEN 'RECEIVED_QUANTUM' WHEN 1 THEN 'SENT_INCREMENT' ELSE 'EVENT' END AS \"eventType\" FROM log WHERE nodeID = 1",
         "log_elapsed": logw + f"SELECT seq, {_r('since_start', 'elapsed')} FROM log WHERE b = 2",
         "log_events": logw + f"SELECT nodeID, seq, {_r('elapsed', 'elapsed')}, events FROM log",

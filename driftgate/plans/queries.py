@@ -17,7 +17,7 @@ from driftgate.operators import counters, logs, ordering, profiles, sketch, vect
 from driftgate.plans.gate import GateConfig, monitor, slot_deltas, throughput
 from driftgate.plans.spec import ExactF2, SketchF2
 from driftgate.session import WorkArea
-from driftgate.sources import access_log, synthetic
+from driftgate.sources import access_log, sinks, synthetic
 from driftgate.streaming.monitor import StreamMonitor, monitor_stream
 from driftgate.streaming.watermarks import closed_windows
 
@@ -623,6 +623,40 @@ def monitor_log(spark, folder):
     return centre.unionByName(site)
 
 
+@query
+def gate_compare_k(spark, folder):
+    """Rounds and subrounds so far over elapsed event time, of runs with different numbers of sites."""
+    runs = {}
+    for k in KS:
+        run = monitor(events(spark, folder, k), k, DAY, EPS, "exact", warmup_ms=WARM_DAYS * DAY)
+        log = run.centre_log.withColumn("realTS", F.col("eventTS"))  # event time is the clock
+        marks = [logs.cumulative_marks(log, kind).withColumn("kind", F.lit(kind)) for kind in ("ROUND", "SUBROUND")]
+        runs[k] = marks[0].unionByName(marks[1])
+    return logs.compare(runs).select("k", "kind", "ordinal", "elapsed")
+
+
+@query
+def sink_answers(spark, folder):
+    """The answers of the exact run written as text and read back."""
+    path = f"{WorkArea(spark, 'sink').path}/answers"
+    sinks.write_estimates(_monitor(spark, folder, "exact").estimates, path)
+    return spark.read.schema("ts bigint, estimate double").csv(path)
+
+
+@query
+def sink_logs(spark, folder):
+    """The logs of the exact run, written and read back: decisions per kind, and the last count of each site."""
+    path = f"{WorkArea(spark, 'sink').path}/logs"
+    sinks.write_logs(_monitor(spark, folder, "exact"), path)
+    parts = []
+    for log, kind in (("centre", "metricType"), ("site", "eventType")):
+        counted = spark.read.parquet(f"{path}/{log}").groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+        parts.append(counted.withColumn("log", F.lit(log)))
+    last = spark.read.parquet(f"{path}/throughput").groupBy(F.col("nodeID").cast("string").alias("kind"))
+    parts.append(last.agg(F.max("events").alias("n")).withColumn("log", F.lit("throughput")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("log", "kind", "n")
+
+
 @query
 def monitor_throughput(spark, folder):
     """Cumulative records per site and day."""
