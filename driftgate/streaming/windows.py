@@ -33,6 +33,8 @@ class AnchoredWindow:
             return
         before = batch_id - 1
         known = work.complete(f"held/{before}")
+        if batch_id > 0 and not known:
+            raise RuntimeError(f"the state of micro-batch {before} is missing below {work.path}")
         fresh = work.save(batch, f"fresh/{batch_id}")
         old = work.load(f"slides/{before}") if known else None
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,28 @@ def test_late_event_joins_the_current_slide(spark, tmp_path):
     first = [(100, -1.0, 7000), (100, 1.0, 3000)]
     second = [(3000, -2.0, 8100), (3000, -1.0, 8100), (3000, 1.0, 4100), (3000, 2.0, 4100)]
     assert got == first + second
+
+
+def test_anchored_stream_as_a_running_query(spark, tmp_path):
+    """Three files, one micro-batch each."""
+    from driftgate.streaming.windows import anchored_stream
+
+    times = sorted(random_times(11, 120, 40_000))
+    df, source = events(spark, {0: times, 1: times[::4]}), str(tmp_path / "in")
+    for part in ("ts_ms < 12000", "ts_ms >= 12000 and ts_ms < 25000", "ts_ms >= 25000"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query, run = anchored_stream(stream, str(tmp_path / "root"), 5_000, 1_000)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 2
+    columns = ("site", "ts_ms", "x", "val", "at")
+    expected = windows.retract_anchored(df, 5_000, 1_000).select(*columns).collect()
+    assert sorted(run.output().select(*columns).collect()) == sorted(expected)
+
+
+def test_anchored_window_without_its_past_fails(spark, tmp_path):
+    from driftgate.streaming.windows import AnchoredWindow
+
+    with pytest.raises(RuntimeError, match="micro-batch 2"):
+        AnchoredWindow(spark, str(tmp_path / "root"), 5_000, 1_000).process(events(spark, {0: [100]}), 3)
