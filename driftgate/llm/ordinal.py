@@ -160,7 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     slots = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["slots"]]
-    return fit([slots[i] for i in order], rows["grade"].to_numpy()[order])
+    model = fit([slots[i] for i in order], rows["grade"].to_numpy()[order])
+    del rows, slots  # the driver gives the sample's memory back at once
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
