@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftgate.llm import decontaminate
@@ -93,6 +94,58 @@ def test_table_equals_plain(spark):
             assert split(texts[r.doc_id])[r.first_word : r.first_word + len(own)] == own
 
 
+@pytest.mark.parametrize("n", [20, 40, 59, 90, 300, 600, 1200])
+def test_recall_of_long_items(n):
+    rng = random.Random(n)
+    found, runs = 0, 0
+    for edits in {int(n * share) for share in (0, 0.05, 0.1, 0.15, 0.2)}:
+        for _ in range(max(6, 600 // n)):
+            own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            text = rng.choices(own, k=30) + edited(rng, own, edits) + [f"x{i}" for i in range(30)]
+            items = decontaminate.Items([0], [" ".join(own)])
+            rows = list(items.find(pa.array(["no copy", " ".join(text)])))
+            runs += 1
+            found += len(rows) == 1 and rows[0][:2] == (1, 0) and rows[0][2] <= edits
+            if rows and edits == 0:
+                assert rows == [(1, 0, 0, 30)]
+    assert found >= 0.98 * runs
+
+
+def test_edits_dealt_evenly_over_all_parts():
+    rng = random.Random(8)
+    found = 0
+    for _ in range(20):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        text = [f"new{i}" if i % 5 == 2 else x for i, x in enumerate(own)]
+        found += list(decontaminate.Items([0], [" ".join(own)]).find(pa.array([" ".join(text)]))) == [(0, 0, 80, 0)]
+    assert found == 20
+
+
+def test_best_window_equals_plain():
+    rng = random.Random(4)
+    for _ in range(200):
+        item, text = ([rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        n, start = decontaminate.best_window(np.array(item), np.array(text), len(item))
+        assert n == least_edits(item, text)
+        assert n == min(least_edits(item, text[start:b]) for b in range(start, len(text) + 1))
+
+
+def test_every_document_equals_plain(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    owns = {i: split(text) for i, text in items}
+    want = set()
+    for d, text in docs:
+        text = split(text)
+        have = set(text)
+        for i, own in owns.items():
+            most = int(decontaminate.SHARE * len(own))
+            if own and sum(w in have for w in own) >= len(own) - most and least_edits(own, text) <= most:
+                want.add((d, i))
+    out = all_queries()["op3_benchmark_leaks"](spark, SMALL).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == want
+
+
 def test_cases(spark):
     passage = "one two three four five six seven eight nine ten"
     docs = [(1, None, 1), (2, "", 1), (3, f"so {passage.upper()}!", 1), (3, f"so {passage.upper()}!", 1), (None, passage, 1), (5, "x " * 50_000 + passage, 1)]
