@@ -127,6 +127,7 @@ _DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|point)[ \t]*[\])}>][ \t]*", re.I)
 # "name at host dot com": bare words count only together
 _BARE = re.compile(r"(?<![\w.%+-])([\w.%+-]{1,64})([ \t]+at[ \t]+)([\w-]{1,64})((?:[ \t]+dot[ \t]+[\w-]{1,64})+)(?!\w)", re.I)
 _BRACKETED = re.compile(r"[\[({<][ \t]*(?:at|dot|point)[ \t]*[\])}>]")
+_BETWEEN = {w: re.compile(rf"[ \t]{w}[ \t]") for w in ("at", "dot")}
 _BARE_DOT = re.compile(r"[ \t]+dot[ \t]+", re.I)
 _SAID = re.compile(
     rf"(?<!\w)(?:plus[ \t]+)?(?:{_WORDS}|[0-9]+)(?:[ \t,-]+(?:dot[ \t]+)?(?:{_WORDS}|[0-9]+))*(?!\w)", re.I
@@ -194,18 +195,31 @@ def _signs(t: Rewrite) -> None:
 
 
 def _digits(t: Rewrite) -> None:
-    """Runs of spelled digits; plain digits may stand between, bare numbers alone are left as they are."""
+    """Runs of spelled digits; plain digits may stand between, bare numbers alone are left as they are.
+
+    A run with fewer than four spelled digits is rewritten if all of it then is personal data and nothing in it was.
+    """
     edits = []
     for run in _SAID.finditer(t.text):
         parts = list(_SAID_PART.finditer(t.text, *run.span()))
-        if sum(p.group(2) is not None for p in parts) < 4:
+        spelled = sum(p.group(2) is not None for p in parts)
+        if not spelled:
             continue
+        own = []
         for p in parts:
             new = "+" if p.group(1) else _SPELLED[p.group(2).lower()] if p.group(2) else "." if p.group(4) else None
             if new is None and p.group(5):
                 new = ""
             if new is not None:
-                edits.append((*p.span(), new))
+                own.append((*p.span(), new))
+        if spelled < 4:
+            # a plus sign before the run is part of it
+            a, b = run.start() - (t.text[: run.start()][-1:] == "+"), run.end()
+            part = Rewrite(t.text[a:b])
+            part.edit([(x - a, y - a, new) for x, y, new in own])
+            if find(t.text[a:b]) or not any(s <= 0 and e >= len(part.text) for s, e, _ in find(part.text)):
+                continue
+        edits += own
     t.edit(edits)
 
 
@@ -213,11 +227,10 @@ def _disguised(text: str) -> bool:
     if not text.isascii() and _FOLDABLE.search(text):
         return True
     low = text.lower()
-    if _BRACKETED.search(low) or (" dot " in low and " at " in low):
+    if _BRACKETED.search(low) or (_BETWEEN["dot"].search(low) and _BETWEEN["at"].search(low)):
         return True
-    if sum(low.count(w) for w in _SPELLED) < 4:
-        return False
-    return sum(w in _SPELLED for w in low.replace(",", " ").replace("-", " ").split()) >= 3  # the last may end a sentence
+    n = sum(low.count(w) for w in _SPELLED)
+    return n >= 4 or (n > 0 and re.search("[0-9]", low) is not None)  # fewer make a number only with plain ones
 
 
 def find_disguised(text: str) -> list[tuple[int, int, str]]:
@@ -244,8 +257,8 @@ def find_all(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
             begins = [s for s, _ in own]
             for s, e, k in extra:
                 if k == kind:
-                    at = int(np.searchsorted(begins, e)) if own else 0  # own spans are apart: only the last one before e can touch
-                    if not (at and own[at - 1][1] > s):
+                    at = int(np.searchsorted(begins, s, "right")) if own else 0  # own spans are apart: only the last one up to s can hold it
+                    if not (at and own[at - 1][1] >= e):
                         more.append((s, e, k))
     order = lambda x: (x[0], rank[x[2]], x[1])
     return sorted(base, key=order), sorted(base + more, key=order)

@@ -183,6 +183,24 @@ def test_disguises(text, found, kind):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    "text, masked",
+    [
+        ("+1 555 123 456 seven eight nine zero", "[phone]"),
+        ("john [dot] smith@example.com", "[email]"),
+        ("call +1 five five five 123 4567 now", "call [phone] now"),
+        ("mail\tjohn\tat\texample\tdot\tcom", "mail\t[email]"),
+    ],
+)
+def test_disguises_beside_plain_ones(text, masked):
+    assert pii.mask(text, pii.find_all(text)[1]) == masked
+
+
+def test_plain_number_before_a_word():
+    for text in ("call 555-123-4567 two times", "one of 192.168.10.12", "chapter one 12"):
+        assert pii.find_all(text)[1] == pii.find_all(text)[0]
+
+
 def test_no_false_disguises():
     for text in ("see you at noon dot", "one two three go", "at example.com", "three of one and four", "1 2 3 4", ""):
         assert pii.find_all(text) == ([], [])
