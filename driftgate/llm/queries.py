@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, neighbours, ordinal, pii, tokens, urls
+from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, neighbours, ordinal, pieces, pii, tokens, urls
 from driftgate.session import WorkArea, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,13 @@ def op9_nearest_vectors(spark, folder):
 @query
 def op10_jaccard_components(spark, folder):
     return jaccard.cluster(_table(spark, folder, "documents"), WorkArea(spark, "op10"))
+
+
+@query
+def op13_sentence_pieces(spark, folder):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(_table(spark, folder, "documents").select("doc_id", "text"), path)
+    packed = pieces.digest(pieces.decode(coded.drop("text", "begins", "ends"), path))
+    return packed.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")
