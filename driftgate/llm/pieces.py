@@ -33,6 +33,8 @@ from driftgate.llm.text import slices, utf8
 SPACE = "▁"
 _SPACE = np.frombuffer(SPACE.encode(), np.uint8)
 _LOST = "�"
+#: Bytes of text that are normalised at a time (a longer text comes alone); each takes about 200 bytes of memory.
+SLICE = 256 << 10
 #: Bytes of units whose pieces a worker keeps.
 KEPT_BYTES = 32 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in model files
@@ -473,20 +475,23 @@ def _lists(values: np.ndarray, edge: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, ends: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, ends: bool = True, decoded: bool = False) -> DataFrame:
     """The documents with ``ids`` and the byte spans ``begins, ends`` of each id in ``text``.
 
     ``path``: a model file, read on the driver only. ``ends``: begin and end ids frame every text; their spans are empty.
+    ``decoded``: the text of the ids comes along as ``decoded``, as from ``decode`` but in the same pass.
     """
     file = _read(path)
-    kept = docs.select([c for c in docs.columns if c not in ("ids", "begins", "ends")])
+    kept = docs.select([c for c in docs.columns if c not in ("ids", "begins", "ends") + ("decoded",) * decoded])
     place = kept.columns.index("text")
     ints = ArrayType(IntegerType(), False)
     schema = StructType(list(kept.schema)).add("ids", ints).add("begins", ints).add("ends", ints)
+    if decoded:
+        schema = schema.add("decoded", StringType())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(file)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             ids, begin, end, edge = encoder.encode(batch.column(place))
             if ends:
                 size = utf8(batch.column(place))[1]
@@ -495,6 +500,8 @@ def encode(docs: DataFrame, path: str, ends: bool = True) -> DataFrame:
                 begin, end = (_framed(x, edge, np.zeros(len(total), np.int64), total) for x in (begin, end))
                 edge = edge + 2 * np.arange(len(edge))
             columns = [_lists(x, edge) for x in (ids, begin, end)]
+            if decoded:
+                columns.append(pa.array(encoder.decode(ids, edge), pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
     return kept.mapInArrow(apply, schema)

@@ -125,7 +125,7 @@ def op10_jaccard_components(spark, folder):
 def op13_sentence_pieces(spark, folder):
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(_table(spark, folder, "documents").select("doc_id", "text"), path)
-    packed = pieces.digest(pieces.decode(coded.drop("text", "begins", "ends"), path))
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    packed = pieces.digest(coded)
     return packed.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")
