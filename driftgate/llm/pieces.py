@@ -3,9 +3,8 @@
 * Normalisation: the compiled character map is a double-array trie over bytes. All positions of a slice of texts walk
   the trie side by side, one byte a round, and note their longest match; matches are then taken from left to right.
   Each normalised byte knows the source byte its match began at.
-* Pieces: no piece holds a white-space sign behind another sign, so the normalised text falls apart into units, a run of
-  white space with the word behind it, which are merged on their own. A unit seen before is not merged again. A vocabulary with
-  pieces across units (none of the usual ones) is encoded text by text.
+* Pieces: two neighbouring characters that are neighbours in no piece are never merged, so the normalised text falls
+  apart there into units, mostly words, which are merged on their own. A unit seen before is not merged again.
 * Offsets: the ends of the pieces in their unit, shifted to the unit's place, are looked up in the alignment, so every
   piece has a span of bytes of the source text. Of a character spelled in byte pieces the last one has the span.
 
@@ -36,7 +35,7 @@ _LOST = "�"
 #: Bytes of text that are normalised at a time (a longer text comes alone); each takes about 200 bytes of memory.
 SLICE = 256 << 10
 #: Bytes of units whose pieces a worker keeps.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 48 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in model files
 BPE = 2
 
@@ -136,8 +135,7 @@ class Model:
         self.unused = any(k == UNUSED for k in self.kinds)
         self.bytes = {p: int(p[3:5], 16) for p, k in zip(self.pieces, self.kinds, strict=True) if k == BYTE}
         self.spelled = {b: self.reserved[p] for p, b in self.bytes.items()}
-        #: Does a piece reach over the border of two units?
-        self.joined = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self._neighbours()
 
     def _piece(self, fields: dict) -> None:
         piece, n = fields[1].decode(), len(self.pieces)
@@ -150,6 +148,21 @@ class Model:
         else:
             self.reserved[piece] = n
 
+    def _neighbours(self) -> None:
+        """Which characters are neighbours in some piece. Kind 0: those in pieces of their own only, or in none."""
+        several = [p for p in self.ids if len(p) > 1]
+        letters = sorted(set("".join(several)))
+        self.kind_of = np.zeros(0x110000, np.int16)
+        self.kind_of[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.joins = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        pairs = {p[i : i + 2] for p in several for i in range(len(p) - 1)}
+        a, b = (self.kind_of[[ord(p[i]) for p in pairs]] for i in (0, 1))
+        self.joins[a, b] = True
+        if not self.byte_fallback:  # unknown neighbours become one id, so only white space parts units
+            space = self.joins[:, self.kind_of[ord(SPACE)]].copy()
+            self.joins[:] = True
+            self.joins[:, self.kind_of[ord(SPACE)]] = space | (SPACE not in self.ids)
+
     def id_of(self, piece: str) -> int:
         return self.reserved.get(piece, self.ids.get(piece, self.unknown))
 
@@ -275,6 +288,22 @@ def _white_space(model: Model, out, source, first, offsets, lead_at):
     return result, align, starts, tail
 
 
+class Grown:
+    """An array that grows by lists, which are emptied."""
+
+    def __init__(self, kind):
+        self.values, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: list[int]) -> np.ndarray:
+        n = self.n + len(more)
+        if n > len(self.values):
+            self.values = np.resize(self.values, 2 * n)
+        self.values[self.n : n] = more
+        self.n = n
+        more.clear()
+        return self.values[:n]
+
+
 class Encoder:
     """Encodes and decodes columns of texts; keeps the pieces of frequent units."""
 
@@ -285,9 +314,13 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.held = 0
+        # what the known units have become, and what has been added since the last slice
+        self.kept_ids, self.kept_ends = Grown(np.int32), Grown(np.int32)
+        self.first = Grown(np.int64)
         self.flat_ids: list[int] = []
         self.flat_ends: list[int] = []
-        self.first: list[int] = [0]
+        self.edges: list[int] = [0]
+        self.size = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, first byte and end of their source spans (in their text), and where each text's
@@ -305,8 +338,8 @@ class Encoder:
             unit = raw[a:b]
             code = known.get(unit)
             codes[i] = merge(unit) if code is None else code
-        start = np.array(self.first, np.int64)
-        flat_ids, flat_ends = np.array(self.flat_ids, np.int32), np.array(self.flat_ends, np.int64)
+        start = self.first.add(self.edges)
+        flat_ids, flat_ends = self.kept_ids.add(self.flat_ids), self.kept_ends.add(self.flat_ends)
         count = start[codes + 1] - start[codes]
         where = np.repeat(start[codes], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         ids = flat_ids[where]
@@ -322,17 +355,18 @@ class Encoder:
         return ids, (source[begins] - base).astype(np.int32), (to - base).astype(np.int32), edge
 
     def _units(self, out: np.ndarray, first: np.ndarray) -> np.ndarray:
-        cut = np.zeros(len(out) + 1, bool)
-        if not self.model.joined:
-            sign = _signs(out)
-            cut[1:-1] = sign[1:] & ~sign[:-1]
-        cut[first] = True
-        return np.flatnonzero(cut[:-1])
+        at = np.flatnonzero((out & 0xC0) != 0x80)
+        points = np.frombuffer(out.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        kind = self.model.kind_of[points]
+        cut = np.ones(len(at), bool)
+        cut[1:] = ~self.model.joins[kind[:-1], kind[1:]]
+        cut[np.searchsorted(at, first[:-1][np.diff(first) > 0])] = True
+        return at[cut]
 
     def _merge(self, unit: bytes) -> int:
-        code = self.known[unit] = len(self.first) - 1
+        code = self.known[unit] = len(self.known)
         self.held += len(unit) + 100
-        at, lost = 0, False
+        at, lost, size = 0, False, len(self.flat_ids)
         for piece in self._pieces(unit.decode("utf-8")):
             raw = piece.encode()
             at += len(raw)
@@ -349,7 +383,8 @@ class Encoder:
                 self.flat_ids.append(n)
                 self.flat_ends.append(at)
             lost = n == self.model.unknown
-        self.first.append(len(self.flat_ids))
+        self.size += len(self.flat_ids) - size
+        self.edges.append(self.size)
         return code
 
     def _pieces(self, text: str) -> list[str]:
