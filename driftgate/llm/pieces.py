@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from driftgate.llm.text import slices, utf8
 
@@ -34,6 +36,8 @@ _SPACE = np.frombuffer(SPACE.encode(), np.uint8)
 _LOST = "�"
 #: Bytes of text that are normalised at a time (a longer text comes alone); each takes about 200 bytes of memory.
 SLICE = 256 << 10
+#: Characters of a unit up to which its pieces are joined without a heap.
+FEW = 48
 #: Bytes of units whose pieces a worker keeps.
 KEPT_BYTES = 48 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in model files
@@ -106,7 +110,7 @@ class Model:
     """What a model file says: pieces with scores and kinds, normalisation, special ids."""
 
     def __init__(self, file: bytes):
-        self.scores: dict[str, float] = {}
+        self.cost: dict[str, float] = {}  # less a piece's score; the least is joined first
         self.ids: dict[str, int] = {}
         self.reserved: dict[str, int] = {}
         self.pieces: list[str] = []
@@ -135,6 +139,8 @@ class Model:
         self.unused = any(k == UNUSED for k in self.kinds)
         self.bytes = {p: int(p[3:5], 16) for p, k in zip(self.pieces, self.kinds, strict=True) if k == BYTE}
         self.spelled = {b: self.reserved[p] for p, b in self.bytes.items()}
+        #: Id and bytes of each piece; special ones first, as in the library.
+        self.coded = {p: (self.reserved.get(p, n), len(p.encode())) for p, n in self.ids.items()}
         self._neighbours()
 
     def _piece(self, fields: dict) -> None:
@@ -144,7 +150,7 @@ class Model:
         self.pieces.append(piece)
         self.kinds.append(kind)
         if kind in (NORMAL, USER, UNUSED):
-            self.ids[piece], self.scores[piece] = n, score
+            self.ids[piece], self.cost[piece] = n, -score
         else:
             self.reserved[piece] = n
 
@@ -163,14 +169,14 @@ class Model:
             self.joins[:] = True
             self.joins[:, self.kind_of[ord(SPACE)]] = space | (SPACE not in self.ids)
 
-    def id_of(self, piece: str) -> int:
-        return self.reserved.get(piece, self.ids.get(piece, self.unknown))
-
 
 def normalise(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Normalised bytes of the texts ``data[offsets[i]:offsets[i + 1]]``, for each of them the place in ``data`` its match
     began at (one more entry behind the last), where each text begins in them, and where it ends in ``data``."""
     data, offsets, odd = _valid(data, offsets)
+    if not len(model.map.label) and not model.squeeze:
+        out, source, first, tail = _white_space(model, data, np.arange(len(data) + 1), offsets, offsets, offsets[:-1])
+        return (out, source, first, tail) if odd is None else (out, odd[source], first, odd[tail])
     head = (data & 0xC0) != 0x80
     at = np.flatnonzero(head)
     border = np.append(at, len(data))
@@ -329,15 +335,16 @@ class Encoder:
         out, source, first, tail = normalise(self.model, data, offsets)
         begin = self._units(out, first)
         end = np.append(begin, len(out))[1:]
-        raw = out.tobytes()
         if self.held > KEPT_BYTES:
             self._forget()
-        known, merge = self.known, self._merge
-        codes = np.empty(len(begin), np.int64)
-        for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
-            unit = raw[a:b]
-            code = known.get(unit)
-            codes[i] = merge(unit) if code is None else code
+        raw = out.tobytes()
+        units = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        known = list(map(self.known.get, units))
+        for i, code in enumerate(known):
+            if code is None:
+                code = self.known.get(units[i])
+                known[i] = self._merge(units[i]) if code is None else code
+        codes = np.array(known, np.int64)
         start = self.first.add(self.edges)
         flat_ids, flat_ends = self.kept_ids.add(self.flat_ids), self.kept_ends.add(self.flat_ends)
         count = start[codes + 1] - start[codes]
@@ -366,40 +373,65 @@ class Encoder:
     def _merge(self, unit: bytes) -> int:
         code = self.known[unit] = len(self.known)
         self.held += len(unit) + 100
-        at, lost, size = 0, False, len(self.flat_ids)
+        at, lost, size, coded = 0, False, len(self.flat_ids), self.model.coded
         for piece in self._pieces(unit.decode("utf-8")):
-            raw = piece.encode()
-            at += len(raw)
-            n = self.model.id_of(piece)
-            if n != self.model.unknown:
+            n, length = coded.get(piece, (-1, 0))
+            if n >= 0:
+                at, lost = at + length, False
                 self.flat_ids.append(n)
                 self.flat_ends.append(at)
-            elif self.model.byte_fallback:
+                continue
+            raw = piece.encode()
+            at += len(raw)
+            if self.model.byte_fallback:
                 self.flat_ids += [self.model.spelled[b] for b in raw]
                 self.flat_ends += [at - len(raw)] * (len(raw) - 1) + [at]
             elif lost:  # unknown neighbours are one
                 self.flat_ends[-1] = at
             else:
-                self.flat_ids.append(n)
+                self.flat_ids.append(self.model.unknown)
                 self.flat_ends.append(at)
-            lost = n == self.model.unknown
+            lost = True
         self.size += len(self.flat_ids) - size
         self.edges.append(self.size)
         return code
 
     def _pieces(self, text: str) -> list[str]:
         """Neighbours are joined while they form a piece, best score first, then leftmost."""
-        scores = self.model.scores
-        part: list[str] = list(text)
+        part, halves = list(text), {}
+        part = self._few(part, halves) if len(part) <= FEW else self._many(part, halves)
+        return self._without_unused(part, halves) if self.model.unused else part
+
+    def _few(self, part: list[str], halves: dict[str, tuple[str, str]]) -> list[str]:
+        cost = self.model.cost.get
+        none = float("inf")
+        costs = [cost(a + b, none) for a, b in zip(part, part[1:])]
+        while costs:
+            least = min(costs)
+            if least == none:
+                break
+            i = costs.index(least)
+            joined = part[i] + part[i + 1]
+            if self.model.unused:
+                halves[joined] = part[i], part[i + 1]
+            part[i : i + 2] = [joined]
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(part[i - 1] + joined, none)
+            if i < len(costs):
+                costs[i] = cost(joined + part[i + 1], none)
+        return part
+
+    def _many(self, part: list[str], halves: dict[str, tuple[str, str]]) -> list[str]:
+        cost = self.model.cost
         n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
-            score = scores.get(part[i] + part[i + 1])
-            if score is not None:
-                heap.append((-score, i, part[i] + part[i + 1]))
+            price = cost.get(part[i] + part[i + 1])
+            if price is not None:
+                heap.append((price, i, part[i] + part[i + 1]))
         heapq.heapify(heap)
-        halves: dict[str, tuple[str, str]] = {}
         while heap:
             _, i, joined = heapq.heappop(heap)
             j = after[i]
@@ -413,11 +445,10 @@ class Encoder:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right < n:
-                    score = scores.get(part[left] + part[right])
-                    if score is not None:
-                        heapq.heappush(heap, (-score, left, part[left] + part[right]))
-        pieces = [p for p in part if p]
-        return self._without_unused(pieces, halves) if self.model.unused else pieces
+                    price = cost.get(part[left] + part[right])
+                    if price is not None:
+                        heapq.heappush(heap, (price, left, part[left] + part[right]))
+        return [p for p in part if p]
 
     def _without_unused(self, pieces: list[str], halves: dict[str, tuple[str, str]]) -> list[str]:
         out, todo = [], pieces[::-1]
@@ -510,38 +541,58 @@ def _lists(values: np.ndarray, edge: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, ends: bool = True, decoded: bool = False) -> DataFrame:
-    """The documents with ``ids`` and the byte spans ``begins, ends`` of each id in ``text``.
+_INTS = ArrayType(IntegerType(), False)
+#: What ``encode`` can return for each text, and its type.
+COLUMNS = {
+    "ids": _INTS, "begins": _INTS, "ends": _INTS, "n_tokens": LongType(), "ids_sha256": StringType(), "decoded": StringType(),
+    "decoded_sha256": StringType(),
+}
+
+
+def encode(
+    docs: DataFrame, path: str, frame: bool = True, columns: Sequence[str] = ("ids", "begins", "ends")
+) -> DataFrame:
+    """The documents with ``ids`` and the byte spans ``begins, ends`` of each id in ``text``, or other ``COLUMNS``.
 
-    ``path``: a model file, read on the driver only. ``ends``: begin and end ids frame every text; their spans are empty.
-    ``decoded``: the text of the ids comes along as ``decoded``, as from ``decode`` but in the same pass.
+    ``path``: a model file, read on the driver only. ``frame``: begin and end ids frame every text; their spans are empty.
+    The digests are those of the ids as little-endian 32-bit numbers and of the text that the ids decode to.
     """
     file = _read(path)
-    kept = docs.select([c for c in docs.columns if c not in ("ids", "begins", "ends") + ("decoded",) * decoded])
+    kept = docs.select([c for c in docs.columns if c not in columns])
     place = kept.columns.index("text")
-    ints = ArrayType(IntegerType(), False)
-    schema = StructType(list(kept.schema)).add("ids", ints).add("begins", ints).add("ends", ints)
-    if decoded:
-        schema = schema.add("decoded", StringType())
+    schema = StructType(list(kept.schema))
+    for name in columns:
+        schema = schema.add(name, COLUMNS[name])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(file)
         for batch in slices(batches, limit=SLICE):
             ids, begin, end, edge = encoder.encode(batch.column(place))
-            if ends:
-                size = utf8(batch.column(place))[1]
-                model, total = encoder.model, np.diff(size)
-                ids = _framed(ids, edge, np.full(len(total), model.begin), np.full(len(total), model.end))
-                begin, end = (_framed(x, edge, np.zeros(len(total), np.int64), total) for x in (begin, end))
+            if frame:
+                total, none = np.diff(utf8(batch.column(place))[1]), np.zeros(len(edge) - 1, np.int64)
+                ids = _framed(ids, edge, none + encoder.model.begin, none + encoder.model.end)
+                begin, end = (_framed(x, edge, none, total) for x in (begin, end))
                 edge = edge + 2 * np.arange(len(edge))
-            columns = [_lists(x, edge) for x in (ids, begin, end)]
-            if decoded:
-                columns.append(pa.array(encoder.decode(ids, edge), pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+            made = _columns(encoder, ids, begin, end, edge, columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return kept.mapInArrow(apply, schema)
 
 
+def _columns(encoder: Encoder, ids, begin, end, edge, columns: Sequence[str]) -> list[pa.Array]:
+    texts = encoder.decode(ids, edge) if {"decoded", "decoded_sha256"} & set(columns) else []
+    make = {
+        "ids": lambda: _lists(ids, edge),
+        "begins": lambda: _lists(begin, edge),
+        "ends": lambda: _lists(end, edge),
+        "n_tokens": lambda: pa.array(np.diff(edge), pa.int64()),
+        "ids_sha256": lambda: pa.array([sha256(ids[a:b].astype("<u4")).hexdigest() for a, b in pairwise(edge.tolist())], pa.string()),
+        "decoded": lambda: pa.array(texts, pa.string()),
+        "decoded_sha256": lambda: pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+    }
+    return [make[c]() for c in columns]
+
+
 def _framed(values: np.ndarray, edge: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """Each row of ``values`` with one more value before and behind it."""
     out = np.empty(len(values) + 2 * len(head), np.int32)
@@ -572,12 +623,3 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return kept.mapInArrow(apply, schema)
-
-
-def digest(rows: DataFrame) -> DataFrame:
-    """The rows with the SHA-256 of ``ids``, as little-endian 32-bit numbers, and of ``decoded``."""
-    eight = F.transform("ids", lambda n: F.lpad(F.hex(n), 8, "0"))
-    turned = F.transform(eight, lambda h: F.concat(*[F.substring(h, at, 2) for at in (7, 5, 3, 1)]))
-    return rows.withColumns(
-        {"ids_sha256": F.sha2(F.unhex(F.array_join(turned, "")), 256), "decoded_sha256": F.sha2("decoded", 256)}
-    )

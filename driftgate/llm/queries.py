@@ -126,6 +126,5 @@ def op13_sentence_pieces(spark, folder):
     import public_tokenizers
 
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
-    packed = pieces.digest(coded)
-    return packed.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+    wanted = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), columns=wanted).drop("text")

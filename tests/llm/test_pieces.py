@@ -86,6 +86,12 @@ def test_long_texts():
         check(f.read(), ["a" * 20_000, "ab" * 9_000, " " * 5_000, "".join(random_texts(1, 4, 9_000)), "🦄" * 3_000], spans=False)
 
 
+def test_heap_and_list_agree(monkeypatch):
+    monkeypatch.setattr(pieces, "FEW", 3)
+    with open(PATH, "rb") as f:
+        check(f.read(), random_texts(300, 7))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_BYTES", 100)
     with open(PATH, "rb") as f:
@@ -139,8 +145,8 @@ def test_cases(spark):
     assert got[3].decoded == " the  end" and got[3].ends[-1] == 9
     spans = list(zip(got[3].begins[1:-1], got[3].ends[1:-1]))
     assert "".join(" the  end"[a:b] for a, b in spans) == " the  end"
-    assert pieces.encode(df, PATH, decoded=True).drop("begins", "ends").collect() == out.select("doc_id", "text", "ids", "decoded").collect()
-    bare = pieces.encode(df.select("text"), PATH, ends=False).filter("text = 'a'").first()
+    assert pieces.encode(df, PATH, columns=("ids", "decoded")).collect() == out.select("doc_id", "text", "ids", "decoded").collect()
+    bare = pieces.encode(df.select("text"), PATH, frame=False).filter("text = 'a'").first()
     assert bare.ids == spm.SentencePieceProcessor(model_file=PATH).encode("a")
     assert pieces.decode(pieces.encode(df.limit(0), PATH), PATH).count() == 0
     assert pieces.decode(spark.createDataFrame([(None,)], "ids array<int>"), PATH).first().decoded == ""
