@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, neighbours, ordinal, pieces, pii, tokens, urls
+from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, neighbours, ordinal, pieces, pii, repair, tokens, urls
 from driftgate.session import WorkArea, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +121,12 @@ def op10_jaccard_components(spark, folder):
     return jaccard.cluster(_table(spark, folder, "documents"), WorkArea(spark, "op10"))
 
 
+@query
+def op11_conversation_repair(spark, folder):
+    talks = _table(spark, folder, "conversations")
+    return repair.report_all(talks, repair.repair(repair.damage(talks), WorkArea(spark, "op11")))
+
+
 @query
 def op13_sentence_pieces(spark, folder):
     import public_tokenizers
