@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, neighbours, ordinal, pieces, pii, repair, tokens, urls
+from driftgate.llm import chat, decontaminate, jaccard, maxent, mixture, negatives, neighbours, ordinal, pieces, pii, repair, tokens, urls
 from driftgate.session import WorkArea, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,38 @@ def op11_conversation_repair(spark, folder):
     return repair.report_all(talks, repair.repair(repair.damage(talks), WorkArea(spark, "op11")))
 
 
+@query
+def op12_hard_negatives(spark, folder):
+    rows = _table(spark, folder, "embeddings").filter(F.col("label").isNotNull() & negatives.usable(F.col("embedding")))
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", flipped.alias("label"), negatives.whole(F.col("embedding")).alias("vector"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, WorkArea(spark, "op12"))
+
+
+_SQL["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 @query
 def op13_sentence_pieces(spark, folder):
     import public_tokenizers
