@@ -135,6 +135,92 @@ def op12_hard_negatives(spark, folder):
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0, WorkArea(spark, "op12"))
 
 
+def _repair_sql() -> str:
+    """The cheapest edits from the last row to the first: for each state the least (cost, audit, turns) of the rest."""
+    step = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    due = {0: "u", 1: "u", 2: "a", 3: "u"}
+    role = {"u": "user:", "a": "assistant:"}
+
+    def way(cost: str, letter: str, turn: str | None, rest: str) -> str:
+        turns = f"list_prepend({turn}, {rest}.t)" if turn else f"{rest}.t"
+        return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 't': {turns}}}"
+
+    def row(state: int) -> str:
+        """All that can be done with the row."""
+        found = [way("3", "D", None, f"s{state}")]
+        for initial, after in step[state].items():
+            found.append(f"CASE WHEN live AND initial = '{initial}' THEN {way('late', 'K', 'turn', f's{after}')} END")
+        after = step[state][due[state]]
+        again = f"'{role[due[state]]}' || txt"
+        found.append(f"CASE WHEN live THEN {way('2 + late', 'R', again, f's{after}')} END")
+        return f"[{', '.join(found)}]"
+
+    def best(state: int) -> str:
+        inserted = way("2", "I", f"'{role[due[state]]}'", "o")
+        more = f"list_transform(list_filter({row(step[state][due[state]])}, lambda o: o IS NOT NULL), lambda o: {inserted})"
+        return f"list_sort(list_filter(list_concat({row(state)}, {more}), lambda o: o IS NOT NULL))[1]"
+
+    nothing = "CAST([] AS VARCHAR[])"
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS c, 0 AS k FROM range(256) r(b)
+  UNION ALL
+  SELECT b, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8
+), names AS (
+  SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), sums AS (
+  SELECT name, 1 AS place, CAST(4294967295 AS BIGINT) AS c FROM names
+  UNION ALL
+  SELECT name, place + 1, xor(sums.c >> 8, bits.c)
+  FROM sums JOIN bits ON k = 8 AND place <= length(name) AND b = xor(sums.c, ascii(substring(name, place, 1))) & 255
+), kinds AS (
+  SELECT name, xor(c, 4294967295) % 20 AS kind FROM sums WHERE place = length(name) + 1
+), damaged AS (
+  SELECT conv_id, turn AS place, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+              ELSE coalesce(text, ' ') END AS txt, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM conversations
+  JOIN kinds ON name = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')
+  WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place NULLS FIRST, role, txt) AS i FROM damaged
+), marked AS (
+  SELECT conv_id, place, txt, i, role || ':' || txt AS turn, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(txt, '[^\\x20\\x09-\\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'd'
+              WHEN regexp_matches(txt, '[.!?][\\x20\\x09-\\x0D]*$', 's') THEN '-' ELSE 't' END AS fault,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before
+  FROM numbered
+), rows_ AS (
+  SELECT *, fault IN ('t', '-') AS live, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS late FROM marked
+), talks AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(place) - min(place) + 1 - count(DISTINCT place), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id
+), way AS (
+  SELECT conv_id, n AS i, {{'c': 0, 'a': '', 't': {nothing}}} AS s0,
+         {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}} AS s1, {{'c': 2, 'a': 'I', 't': ['assistant:']}} AS s2,
+         {{'c': 0, 'a': '', 't': {nothing}}} AS s3
+  FROM talks
+  UNION ALL
+  SELECT way.conv_id, way.i - 1, {best(0)}, {best(1)}, {best(2)}, {best(3)}
+  FROM way JOIN rows_ ON way.conv_id IS NOT DISTINCT FROM rows_.conv_id AND way.i = rows_.i
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost,
+       coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN talks ON o.conv_id IS NOT DISTINCT FROM talks.conv_id
+LEFT JOIN (SELECT * FROM way WHERE i = 0) w ON o.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
+_SQL["op11_conversation_repair"] = _repair_sql()
+
+
 _SQL["op12_hard_negatives"] = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
