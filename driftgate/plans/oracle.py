@@ -716,9 +716,19 @@ UNION ALL SELECT 'customer_supplier', CAST(count(*) AS DOUBLE) FROM customer JOI
         "retract_aligned": _with(EV, f"t AS (SELECT site, ts_ms // {HOUR} AS slot, x, sum(val) AS v FROM ev GROUP BY ALL)")
         + "SELECT site, slot, x, v FROM t UNION ALL SELECT site, slot + 24, x, -v FROM t",
         "retract_anchored": _anchored(),
+        "retract_anchored_stream": _anchored(),
         "window_sliding": ev
         + f"""SELECT site, (ts_ms // {HOUR} - 23 + i) * {HOUR} AS window_start_ms, count(*) AS n, sum(val) AS total
 FROM ev, range(24) o(i) GROUP BY ALL""",
+        "window_extremes": ev
+        + f"""SELECT site, (ts_ms // {HOUR} - 23 + i) * {HOUR} AS window_start_ms, count(*) AS n, CAST(sum(a) AS DOUBLE) AS total,
+  CAST(min(a) AS DOUBLE) AS low, CAST(max(a) AS DOUBLE) AS high
+FROM ev, range(24) o(i) GROUP BY ALL""",
+        "window_fine": ev
+        + f"""SELECT site, start // {DAY} AS day, count(*) AS windows, CAST(sum(n) AS BIGINT) AS records, max(n) AS most,
+  CAST(max(total) AS DOUBLE) AS total, CAST(min(low) AS DOUBLE) AS low, CAST(max(high) AS DOUBLE) AS high
+FROM (SELECT site, (ts_ms // 5000 - 199 + i) * 5000 AS start, count(*) AS n, sum(a) AS total, min(a) AS low, max(a) AS high
+  FROM ev, range(200) o(i) GROUP BY ALL) GROUP BY ALL""",
         "pane_delta": ev
         + """SELECT site, x, slot, sum(v) AS v FROM (
   SELECT site, x, slot, val AS v FROM ev UNION ALL SELECT site, x, slot + 3, -val FROM ev) GROUP BY ALL HAVING sum(v) <> 0""",

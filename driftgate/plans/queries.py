@@ -20,6 +20,7 @@ from driftgate.session import WorkArea
 from driftgate.sources import access_log, sinks, synthetic
 from driftgate.streaming.monitor import StreamMonitor, monitor_stream
 from driftgate.streaming.watermarks import closed_windows
+from driftgate.streaming.windows import anchored_stream
 
 SITES = 4
 EPS = 0.2
@@ -490,11 +491,47 @@ def retract_anchored(spark, folder):
     return signed.select("event_id", "site", "ts_ms", "x", "val", "at")
 
 
+@query
+def retract_anchored_stream(spark, folder):
+    """The same as a stream over the event files, with the slides in Spark's state store."""
+    schema = _table(spark, folder, "events").schema
+    raw = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    records = raw.select(
+        "event_id", site_of(F.col("event_id"), SITES).alias("site"), _time_ms().alias("ts_ms"),
+        pair_key(F.col("user_id"), _type_code()).alias("x"), F.lit(1.0).alias("val"),
+    )
+    area = WorkArea(spark, "anchored-stream")
+    running, out = anchored_stream(records, area.path, 24 * HOUR, HOUR)
+    running.awaitTermination()
+    return out.output().select("event_id", "site", "ts_ms", "x", "val", "at")
+
+
 @query
 def window_sliding(spark, folder):
     return windows.sliding_totals(events(spark, folder), 24 * HOUR, HOUR)
 
 
+@query
+def window_extremes(spark, folder):
+    """Least and greatest key of every window, beside count and sum."""
+    return windows.sliding_aggregates(events(spark, folder), 24 * HOUR, HOUR, val="a")
+
+
+@query
+def window_fine(spark, folder):
+    """Windows of 1,000 s every 5 s: how many hold an event, and the fullest of each site and day."""
+    found = windows.sliding_aggregates(events(spark, folder), 1_000_000, 5_000, val="a")
+    day = windows.slot_of(F.col("window_start_ms"), DAY).alias("day")
+    return found.groupBy("site", day).agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.sum("n").alias("records"),
+        F.max("n").alias("most"),
+        F.max("total").alias("total"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+
+
 @query
 def pane_delta(spark, folder):
     totals = vectors.build(windows.with_slot(events(spark, folder), DAY), ("site", "slot"))

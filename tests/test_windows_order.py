@@ -43,6 +43,39 @@ def test_anchored_starts_continue_a_stream(spark):
     assert chain(early, 900) + got == chain(times, 900)
 
 
+@pytest.mark.parametrize("slide, span", [(40, 30_000), (2_500, 60_000), (20_000, 200_000)])
+def test_anchored_starts_over_several_levels(spark, slide, span):
+    """Narrow chunks, two maps a group, times on both sides of zero; one site has nearly all rows."""
+    per_site = {0: [t - span // 2 for t in random_times(21, 1500, span)], 1: random_times(22, 5, span), 2: [-7]}
+    found = windows.anchored_starts(events(spark, per_site), slide, chunk_ms=512, fan=2).collect()
+    for site, times in per_site.items():
+        assert sorted(r["start"] for r in found if r["site"] == site) == chain(times, slide)
+
+
+def test_step_maps_stay_small():
+    """A map has no steps beyond what can be met, and one where all ways have come together."""
+    times = np.unique(random_times(23, 5_000, 100_000))
+    import pyarrow as pa
+
+    maps = []
+    for block in range(10):
+        own = times[(times >= block * 10_000) & (times < (block + 1) * 10_000)]
+        maps.append(windows._chunk_map(300, 10_000, 0)((pa.scalar(0), pa.scalar(block)), pa.table({"ts_ms": own})))
+    whole = windows._block_map(300, 100_000, 0)((pa.scalar(0), pa.scalar(0)), pa.concat_tables(maps))
+    assert whole.num_rows <= (times < 300).sum() + 1
+    for enter in range(0, 299, 7):
+        last = chain([t for t in times if t >= enter], 300)[-1]
+        assert windows._follow(whole["upto"].to_numpy(), whole["leave"].to_numpy(), np.array([enter]))[0] == last + 300
+
+
+def test_anchored_starts_behind_a_late_carry(spark):
+    """Rows far before the carried threshold don't start a slide, nor do they hide it."""
+    df = events(spark, {0: [5, 900, 41_000, 41_500, 60_000]})
+    carry = spark.createDataFrame([(0, 40_900)], "site bigint, carry bigint")
+    assert sorted(r["start"] for r in windows.anchored_starts(df, 900, carry).collect()) == [41_000, 60_000]
+    assert windows.anchored_starts(df.limit(0), 900).collect() == []
+
+
 def test_retract_anchored(spark):
     size, slide = 5_000, 1_000
     times = sorted(random_times(4, 120, 60_000))
@@ -88,6 +121,20 @@ def test_sliding_totals(spark):
     assert got == {(0, -10): 1, (0, 0): 2, (0, 10): 2, (0, 20): 1, (1, 20): 1, (1, 30): 1}
 
 
+@pytest.mark.parametrize("size, slide, span", [(1_000, 5, 9_000), (60, 20, 5_000), (50, 50, 3_000), (40, 5, 200)])
+def test_sliding_aggregates(spark, size, slide, span):
+    """Many windows a pane, few, one, and times on both sides of zero."""
+    rng = np.random.default_rng(span)
+    rows = [(int(s), int(t) - span // 2, 0, float(v)) for s, t, v in zip(rng.integers(0, 2, 60), rng.integers(0, span, 60), rng.integers(-9, 9, 60))]
+    want = {}
+    for s, t, _, v in rows:
+        for w in range((t // slide) - size // slide + 1, t // slide + 1):
+            want.setdefault((s, w * slide), []).append(v)
+    df = spark.createDataFrame(rows, "site bigint, ts_ms bigint, x bigint, val double")
+    got = {(r[0], r[1]): tuple(r)[2:] for r in windows.sliding_aggregates(df, size, slide).collect()}
+    assert got == {k: (len(v), sum(v), min(v), max(v)) for k, v in want.items()}
+
+
 def test_global_rank_with_one_dominant_value(spark):
     """A third of the rows share one timestamp."""
     rng = np.random.default_rng(6)
@@ -124,52 +171,93 @@ def test_f2_checkpoints(spark):
     assert got == expected
 
 
-def test_anchored_stream_equals_batch(spark, tmp_path):
-    from driftgate.streaming.windows import AnchoredWindow
+COLUMNS = ("site", "ts_ms", "x", "val", "at")
+
+
+def add_file(df, source):
+    """One more file of a stream, later than those before."""
+    df.coalesce(1).write.mode("append").parquet(source)
+    time.sleep(1.1)
+
+
+def files_stream(spark, df, source):
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_anchored_stream_equals_batch(spark, tmp_path, parts):
+    """Three files, one micro-batch each."""
+    from driftgate.streaming.windows import anchored_stream
 
     times = sorted(random_times(9, 150, 60_000))
-    df = events(spark, {0: times, 1: times[::3]})
-    run = AnchoredWindow(spark, str(tmp_path / "root"), 5_000, 1_000)
-    for i, part in enumerate(("ts_ms < 15000", "ts_ms >= 15000 and ts_ms < 15500", "ts_ms >= 15500")):
-        run.process(df.filter(part), i)
-        run.process(df.filter(part), i)  # a repeated batch is ignored
-    columns = ("site", "ts_ms", "x", "val", "at")
-    expected = windows.retract_anchored(df, 5_000, 1_000).select(*columns).collect()
-    assert sorted(run.output().select(*columns).collect()) == sorted(expected)
+    df, source = events(spark, {0: times, 1: times[::3]}), str(tmp_path / "in")
+    for part in ("ts_ms < 15000", "ts_ms >= 15000 and ts_ms < 15500", "ts_ms >= 15500"):
+        add_file(df.filter(part), source)
+    query, run = anchored_stream(files_stream(spark, df, source), str(tmp_path / "root"), 5_000, 1_000, parts=parts)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 2
+    expected = windows.retract_anchored(df, 5_000, 1_000).select(*COLUMNS).collect()
+    assert sorted(run.output().select(*COLUMNS).collect()) == sorted(expected)
+
+
+def test_anchored_stream_goes_on_after_a_stop(spark, tmp_path):
+    """The second query has nothing but the checkpoint of the first."""
+    from driftgate.streaming.windows import anchored_stream
+
+    times = sorted(random_times(12, 90, 40_000))
+    df, source = events(spark, {0: times, 1: times[::2]}), str(tmp_path / "in")
+    for part in ("ts_ms < 20000", "ts_ms >= 20000"):
+        add_file(df.filter(part), source)
+        query, run = anchored_stream(files_stream(spark, df, source), str(tmp_path / "root"), 5_000, 1_000)
+        query.awaitTermination()
+    expected = windows.retract_anchored(df, 5_000, 1_000).select(*COLUMNS).collect()
+    assert sorted(run.output().select(*COLUMNS).collect()) == sorted(expected)
 
 
 def test_late_event_joins_the_current_slide(spark, tmp_path):
-    from driftgate.streaming.windows import AnchoredWindow
+    from driftgate.streaming.windows import anchored_stream
 
-    run = AnchoredWindow(spark, str(tmp_path / "root"), 5_000, 1_000)
-    for i, times in enumerate(([100, 3000], [200], [4100])):
-        run.process(events(spark, {0: times}), i)
+    source = str(tmp_path / "in")
+    for times in ([100, 3000], [200], [4100]):
+        add_file(events(spark, {0: times}), source)
+    query, run = anchored_stream(files_stream(spark, events(spark, {0: [1]}), source), str(tmp_path / "root"), 5_000, 1_000)
+    query.awaitTermination()
     got = sorted((r["ts_ms"], r["val"], r["at"]) for r in run.output().collect())
     first = [(100, -1.0, 7000), (100, 1.0, 3000)]
     second = [(3000, -2.0, 8100), (3000, -1.0, 8100), (3000, 1.0, 4100), (3000, 2.0, 4100)]
     assert got == first + second
 
 
-def test_anchored_stream_as_a_running_query(spark, tmp_path):
-    """Three files, one micro-batch each."""
+def test_withdrawals_wait_for_the_watermark(spark, tmp_path):
+    """With timers a withdrawal appears once the watermark has passed its time, and never before."""
     from driftgate.streaming.windows import anchored_stream
 
-    times = sorted(random_times(11, 120, 40_000))
+    times = sorted(random_times(13, 120, 60_000))
     df, source = events(spark, {0: times, 1: times[::4]}), str(tmp_path / "in")
-    for part in ("ts_ms < 12000", "ts_ms >= 12000 and ts_ms < 25000", "ts_ms >= 25000"):
-        df.filter(part).coalesce(1).write.mode("append").parquet(source)
-        time.sleep(1.1)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query, run = anchored_stream(stream, str(tmp_path / "root"), 5_000, 1_000)
-    query.awaitTermination()
-    assert query.lastProgress["batchId"] >= 2
-    columns = ("site", "ts_ms", "x", "val", "at")
-    expected = windows.retract_anchored(df, 5_000, 1_000).select(*columns).collect()
-    assert sorted(run.output().select(*columns).collect()) == sorted(expected)
-
-
-def test_anchored_window_without_its_past_fails(spark, tmp_path):
-    from driftgate.streaming.windows import AnchoredWindow
+    expected = windows.retract_anchored(df, 5_000, 1_000).select(*COLUMNS).collect()
+    seen = 0
+    for low in range(0, 60_000, 20_000):
+        add_file(df.filter(f"ts_ms >= {low} and ts_ms < {low + 20_000}"), source)
+        query, run = anchored_stream(files_stream(spark, df, source), str(tmp_path / "root"), 5_000, 1_000, lateness_ms=0)
+        query.awaitTermination()
+        newest = max(t for t in times if t < low + 20_000)
+        got = run.output().select(*COLUMNS).collect()
+        # the batch's rows up to the watermark; releases are told at once
+        batch = windows.retract_anchored(df.filter(f"ts_ms < {low + 20_000}"), 5_000, 1_000).select(*COLUMNS).collect()
+        assert sorted(got) == sorted(r for r in batch if r["val"] > 0 or r["at"] <= newest)
+        assert len(got) > seen
+        seen = len(got)
+    assert sorted(got) == sorted(r for r in expected if r["val"] > 0 or r["at"] <= times[-1])
+
+
+def test_state_written_follows_the_batch(spark, tmp_path):
+    """A micro-batch adds to the state what it brings: rows updated in the store don't follow what is held."""
+    from driftgate.streaming.windows import anchored_stream
 
-    with pytest.raises(RuntimeError, match="micro-batch 2"):
-        AnchoredWindow(spark, str(tmp_path / "root"), 5_000, 1_000).process(events(spark, {0: [100]}), 3)
+    df, source = events(spark, {0: range(0, 900)}), str(tmp_path / "in")  # one slide, held throughout
+    for low in range(0, 900, 100):
+        df.filter(f"ts_ms >= {low} and ts_ms < {low + 100}").coalesce(1).write.mode("append").parquet(source)
+    query, _ = anchored_stream(files_stream(spark, df, source), str(tmp_path / "root"), 5_000, 1_000)
+    query.awaitTermination()
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(updated) == 9 and len(set(updated[1:])) == 1
