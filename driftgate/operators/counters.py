@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def counter_growth(series: DataFrame, z: float, quantum: float) -> DataFrame:
-    """Per site and slot the counter ``max(trunc((z - phi)/quantum))`` so far and its growth in the slot."""
+def counter_growth(
+    series: DataFrame, z: float | Column, quantum: float, so_far: Column | None = None
+) -> DataFrame:
+    """Per site and slot the counter ``max(trunc((z - phi)/quantum))`` so far and its growth in the slot.
+
+    ``z`` and ``so_far``, the counter the subround goes on from, may be columns of ``series`` that are equal within a site.
+    """
     by_site = Window.partitionBy("site").orderBy("slot")
-    reached = F.greatest(((F.lit(z) - F.col("phi")) / F.lit(quantum)).cast("bigint"), F.lit(0).cast("bigint"))
+    least = F.lit(0).cast("bigint") if so_far is None else so_far
+    start = z if isinstance(z, Column) else F.lit(z)
+    reached = F.greatest(((start - F.col("phi")) / F.lit(quantum)).cast("bigint"), least)
     counted = series.withColumn("counter", F.max(reached).over(by_site.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.coalesce(F.lag("counter").over(by_site), F.lit(0).cast("bigint"))
+    before = F.coalesce(F.lag("counter").over(by_site), least)
     return counted.select("site", "slot", "counter", (F.col("counter") - before).alias("gained"))
 
 

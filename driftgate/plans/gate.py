@@ -1,8 +1,9 @@
 """The drift gate: publish a new answer only when local drift could have broken the error bound.
 
-Within a round the estimate is fixed, so one job gives phi for every site and slot of a look-ahead range.
-Only those scalars reach the driver, which replays the counters slot by slot until the round ends; a second
-job folds the round's drift into the estimate.
+Within a round the estimate is fixed, so one job gives phi for every site and slot of a look-ahead range, and
+one more for each subround finds the first slot in which the counters pass the budget. Increments up to there and the
+last phi of each site reach the driver, a few numbers a site, whatever the range's length; a look-ahead of at most
+``SCALARS_HELD`` numbers is replayed on the driver instead. At a round's end a job folds its drift into the estimate.
 """
 
 from __future__ import annotations
@@ -15,13 +16,18 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from driftgate.operators.counters import counter_growth, subround_progress
+from driftgate.operators.joins import attach
 from driftgate.operators.windows import slots_per_window, with_slot
 from driftgate.plans.spec import MonitorSpec, Zone, named_spec
 from driftgate.session import WorkArea
 
 LAMBDA = 0.5
 BLOCK_SLOTS = 256
-SCALARS_PER_JOB = 1_000_000
+#: Rows of a look-ahead's series: sites times slots.
+SERIES_ROWS = 1_000_000
+#: Up to so many the driver replays them itself.
+SCALARS_HELD = 512
 LOG_ROWS_HELD = 200_000
 
 ESTIMATE_SCHEMA = "round bigint, ts bigint, estimate double"
@@ -234,6 +240,49 @@ class Gate:
             return current
         return None
 
+    def _search(self, series: DataFrame) -> int | None:
+        """The same as ``_walk`` for a stored series of any length, one job a subround."""
+        after = self.state.pos
+        while True:
+            slot = self._first_crossing(series, after)
+            if slot is None:
+                return None
+            if self._end_of_slot():
+                return slot
+            after = slot
+
+    def _first_crossing(self, series: DataFrame, after: int) -> int | None:
+        """Apply a subround's increments behind ``after`` up to the slot that passes the budget, or all if none does.
+
+        The job returns at most one increment for each unit of the budget, one for each site of the last slot, and one
+        phi for each site.
+        """
+        st, k = self.state, self.config.k
+        fresh = st.lam * st.start_z
+        sites = [(i, st.z.get(str(i), fresh), st.counter.get(str(i), 0)) for i in range(k)]
+        known = self.work.spark.createDataFrame(sites, "site bigint, z double, so_far bigint")
+        rest = attach(series.filter(F.col("slot") > after), known, ["site"], row_bound=k)
+        growth = counter_growth(rest, F.col("z"), st.quantum, F.col("so_far")).filter("gained > 0")
+        crossed = subround_progress(growth, k - st.growth).filter("over").agg(F.min("slot"))
+        upto = F.coalesce(crossed.scalar(), F.lit(2**62).cast("bigint"))
+        none = F.lit(None)
+        gains = growth.filter(F.col("slot") <= upto).select("site", "slot", "gained", none.cast("double").alias("phi"))
+        last = rest.filter(F.col("slot") <= upto).groupBy("site").agg(
+            F.max("slot").alias("slot"), none.cast("bigint").alias("gained"), F.max_by("phi", "slot").alias("phi")
+        )
+        rows = sorted(gains.unionByName(last).collect(), key=lambda r: (r["slot"], r["site"]))
+        self.scalars += len(rows)
+        for row in rows:
+            st.last_ts = max(st.last_ts, row["slot"] * self.config.slide_ms)
+            site = str(row["site"])
+            if row["gained"] is None:
+                st.phi[site] = row["phi"]
+                continue
+            st.counter[site] = st.counter.get(site, 0) + row["gained"]
+            st.growth += row["gained"]
+            self._at_site(row["site"], "SENT_INCREMENT", row["gained"])
+        return rows[-1]["slot"] if st.growth > k else None
+
     def _end_of_slot(self) -> bool:
         """True if the subround ended in this slot and the drifts are needed."""
         st, k = self.state, self.config.k
@@ -259,7 +308,7 @@ class Gate:
             st.pos = max(st.pos, st.until_warm)
         if st.round == 0:
             return st
-        most = max(SCALARS_PER_JOB // cfg.k, 1)
+        most = max(SERIES_ROWS // cfg.k, 1)
         reach = min(st.span or cfg.lookahead, most)
         while st.pos < last:
             if st.zone is None:  # an empty vector has no zone: publish again with the next data
@@ -274,10 +323,13 @@ class Gate:
             series = self.spec.phi_series(
                 self._open_drift(deltas, hi), self.estimate(), st.zone, st.lam, cfg.k
             ).filter(F.col("slot") > st.pos)
-            # at most k scalars per slot, SCALARS_PER_JOB in all
-            rows = sorted(series.collect(), key=lambda r: (r["slot"], r["site"]))
-            self.scalars += len(rows)
-            over = self._walk(iter(rows))
+            if (hi - st.pos) * cfg.k <= SCALARS_HELD:
+                rows = sorted(series.collect(), key=lambda r: (r["slot"], r["site"]))
+                self.scalars += len(rows)
+                over = self._walk(iter(rows))
+            else:
+                over = self._search(self.work.save(series, "phi"))
+                self.work.drop("phi")
             self.flush(LOG_ROWS_HELD)
             if over is None:
                 if 2 * reach > most and hi < last:

@@ -60,7 +60,7 @@ def test_long_rounds_and_logs_leave_the_driver(events, rows, monkeypatch):
 
     deltas = exact_deltas(rows)
     expected, subrounds = walk(Cap(0.5), deltas, K, 2, max(deltas), rebalance=True)
-    monkeypatch.setattr(gate, "SCALARS_PER_JOB", 4 * K)
+    monkeypatch.setattr(gate, "SERIES_ROWS", 4 * K)
     monkeypatch.setattr(gate, "LOG_ROWS_HELD", 10)
     result = monitor(events, K, SLIDE, 0.5, "exact", warmup_ms=3000, rebalance=True)
     assert [g[:2] for g in outcome(result)] == [e[:2] for e in expected]
@@ -193,6 +193,35 @@ class WeightSum(MonitorSpec):
         return sums.select("site", "slot", (F.lit(self.eps * zone["w"]) - F.abs(drift)).alias("phi"))
 
 
+@pytest.mark.parametrize("query, options", [("exact", {}), ("f2", {"rebalance": True}), ("exact", {"window_ms": 8 * SLIDE})])
+def test_crossings_found_in_the_job(events, monkeypatch, query, options):
+    """The same decisions and logs, and scalars that follow subrounds instead of slots."""
+    from driftgate.plans import gate
+
+    shape = SketchShape(3, 30) if query == "f2" else None
+    runs = []
+    for held in (10**9, 0):
+        monkeypatch.setattr(gate, "SCALARS_HELD", held)
+        runs.append(monitor(events, K, SLIDE, 0.3, query, warmup_ms=3000, shape=shape, lookahead=32, **options))
+    whole, found = runs
+    assert outcome(found) == outcome(whole) and len(outcome(whole)) > 2
+    for name, column in (("centre_log", "metricType"), ("site_log", "gained")):
+        logs = [sorted(tuple(r) for r in getattr(run, name).select("seq", "eventTS", column).collect()) for run in runs]
+        assert logs[0] == logs[1]
+
+
+def test_scalars_follow_subrounds(spark, monkeypatch):
+    """Many slots without a decision: the driver gets a few numbers a look-ahead, not one for each slot."""
+    from driftgate.plans import gate
+
+    monkeypatch.setattr(gate, "SCALARS_HELD", 0)
+    rows = [(i % K, i * 100, i % 5, 1.0) for i in range(3000)]
+    calm = spark.createDataFrame(rows, "site bigint, ts_ms bigint, x bigint, val double")
+    run = monitor(calm, K, 100, 3.0, "exact", warmup_ms=100_000, lookahead=2048)
+    subrounds = run.centre_log.count()
+    assert run.scalars <= 4 * K * (subrounds + 4) < 3000
+
+
 def test_user_defined_query(events, rows):
     got = outcome(monitor(events, K, SLIDE, query=WeightSum(), warmup_ms=3000))
     counts = {s: sum(1 for r in rows if r[1] // SLIDE <= s) / K for s in range(50)}
@@ -271,6 +300,23 @@ def test_allowed_lateness_keeps_slots_open(spark, events, tmp_path):
     assert got == outcome(monitor(events, K, SLIDE, 0.3, "exact", warmup_ms=3000))
 
 
+def test_bytes_written_follow_the_batch(spark, tmp_path):
+    """Ever new keys in one open round: a micro-batch writes its own cells, and merges add a logarithm of them."""
+    run = stream_run(spark, tmp_path)
+    n, rounds, written = 200, None, []
+    first = spark.createDataFrame([(i % K, i, -1, 5_000.0) for i in range(8 * SLIDE)], "site bigint, ts_ms bigint, x bigint, val double")
+    run.process(first, 0)
+    for i in range(1, 10):
+        rows = [(j % K, (8 + i) * SLIDE + j, i * n + j, 1.0) for j in range(n)]
+        run.process(spark.createDataFrame(rows, "site bigint, ts_ms bigint, x bigint, val double"), i)
+        written.append(run.cells_written)
+        rounds = run.output().count() if i == 1 else rounds
+    assert run.output().count() == rounds  # the last one is still open
+    plain = written[2:]
+    assert sorted(plain)[len(plain) // 2] <= 2 * n and sum(plain) <= n * len(plain) * 4
+    assert len(run.work.names("drift")) <= 6
+
+
 def test_missing_state_fails(spark, events, tmp_path):
     with pytest.raises(RuntimeError, match="micro-batch 6"):
         stream_run(spark, tmp_path).process(events, 7)
