@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftgate.operators.joins import attach
-from driftgate.operators.ordering import global_rank, running_sum
+from driftgate.operators.ordering import global_rank, rank_within, segments
 
 ORDER = ("realTS", "seq")
 
@@ -77,25 +77,36 @@ def cumulative_marks(log: DataFrame, mark: str, column: str = "metricType") -> D
 
 
 def increments_between(log: DataFrame, marks: Sequence[str], increment: str = "SENT_INCREMENT") -> DataFrame:
-    """Increments a node sent before each of its marks; rows after its last mark are dropped."""
+    """Increments a node sent before each of its marks; rows after its last mark are dropped.
+
+    A segment of a node's log counts its increments before its first mark, in the periods its marks close, and after its last
+    mark. Neighbouring segments merge without their rows: periods are numbered on by the marks before the segment, so what is
+    left open at the end of one adds to the first period of the next. Rows are sorted inside a segment only.
+    """
     is_mark = F.col("eventType").isin(*marks)
     relevant = log.filter(is_mark | (F.col("eventType") == increment)).select("nodeID", "eventType", *ORDER)
-    ranked = global_rank(relevant, ORDER)
-    marked = running_sum(ranked, F.when(is_mark, 1).otherwise(0).cast("bigint"), "passed", ["nodeID"])
-    period = marked.withColumn("period", F.when(is_mark, F.col("passed")).otherwise(F.col("passed") + 1))
-    counted = period.groupBy("nodeID", "period").agg(
-        F.count_if(~is_mark).alias("increments"), F.count_if(is_mark).alias("closed")
+    cut, _ = segments(relevant, ORDER)
+    upto = Window.partitionBy("nodeID", "seg").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    passed = F.sum(F.when(is_mark, 1).otherwise(0).cast("bigint")).over(upto)
+    numbered = cut.select("nodeID", "seg", is_mark.alias("mark"), F.when(is_mark, passed).otherwise(passed + 1).alias("own"))
+    counted = numbered.groupBy("nodeID", "seg", "own").agg(
+        F.count_if(~F.col("mark")).alias("increments"), F.count_if(F.col("mark")).alias("closed")
+    )
+    # one row for each segment of a node
+    earlier = Window.partitionBy("nodeID").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    closed = cut.groupBy("nodeID", "seg").agg(F.count_if(is_mark).alias("marks")).withColumn("before", F.coalesce(F.sum("marks").over(earlier), F.lit(0)))
+    merged = (
+        counted.join(closed, ["nodeID", "seg"])
+        .groupBy("nodeID", (F.col("before") + F.col("own")).alias("period"))
+        .agg(F.sum("increments").alias("increments"), F.sum("closed").alias("closed"))
     )
-    return counted.filter(F.col("closed") > 0).select("nodeID", "period", "increments")
+    return merged.filter(F.col("closed") > 0).select("nodeID", "period", "increments")
 
 
 def cumulative_increments(log: DataFrame, increment: str = "SENT_INCREMENT") -> DataFrame:
     timed = _with_node_start(log).filter(F.col("eventType") == increment)
-    ranked = global_rank(
-        timed.select("nodeID", *ORDER, _seconds_since(F.col("_start")).alias("elapsed")), ORDER
-    )
-    counted = running_sum(ranked, F.lit(1).cast("bigint"), "increments", ["nodeID"])
-    return counted.select("nodeID", "seq", "elapsed", "increments")
+    timed = timed.select("nodeID", *ORDER, _seconds_since(F.col("_start")).alias("elapsed"))
+    return rank_within(timed, ["nodeID"], ORDER, "increments").select("nodeID", "seq", "elapsed", "increments")
 
 
 def time_against_time(log: DataFrame) -> DataFrame:

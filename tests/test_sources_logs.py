@@ -95,6 +95,29 @@ def test_site_profiles(spark):
     assert sum(r["records"] for r in profiles.site_load(df, "server", 5).collect()) == 26
 
 
+def test_increments_over_many_segments(spark, monkeypatch):
+    """One node has most rows, and periods run over several segments."""
+    import random
+
+    from driftgate.operators import ordering
+
+    monkeypatch.setattr(ordering, "SEGMENT_BYTES", 3_000)
+    rng, kinds = random.Random(4), ["SENT_INCREMENT"] * 12 + ["RECEIVED_ESTIMATE", "RECEIVED_QUANTUM", "OTHER"]
+    log = [(i, rng.randrange(300), rng.choice([0, 0, 0, 0, 1, 2]), rng.choice(kinds)) for i in range(1200)]
+    df = spark.createDataFrame(log, "seq bigint, realTS bigint, nodeID bigint, eventType string")
+    for marks in (["RECEIVED_ESTIMATE"], ["RECEIVED_ESTIMATE", "RECEIVED_QUANTUM"]):
+        want = set()
+        for node in range(3):
+            open_ = period = 0
+            for _, _, kind in sorted((t, i, e) for i, t, n, e in log if n == node):
+                if kind in marks:
+                    period += 1
+                    want.add((node, period, open_))
+                    open_ = 0
+                open_ += kind == "SENT_INCREMENT"
+        assert {tuple(r) for r in logs.increments_between(df, marks).collect()} == want
+
+
 def test_increments_between_marks(spark):
     kinds = ["SENT_INCREMENT", "SENT_INCREMENT", "RECEIVED_ESTIMATE", "EVENT", "RECEIVED_ESTIMATE", "SENT_INCREMENT", "RECEIVED_QUANTUM", "SENT_INCREMENT"]
     log = spark.createDataFrame([(i, i * 10, 0, k) for i, k in enumerate(kinds)], "seq bigint, realTS bigint, nodeID bigint, eventType string")

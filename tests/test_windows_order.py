@@ -148,6 +148,32 @@ def test_global_rank_with_one_dominant_value(spark):
     assert largest < 1000
 
 
+def test_segments_split_what_one_column_cannot(spark):
+    """All rows share a time and most share the next column; only the third tells them apart. Nothing else is stored."""
+    rows = [(5, 1 if i % 10 else i, i) for i in range(2000)] + [(-(10**12), 3, 1), (10**12, 3, 1)]
+    df = spark.createDataFrame(rows, "t bigint, u int, id bigint")
+    cut, sizes = ordering.segments(df, ("t", "u", "id"), rows=100)
+    found = cut.collect()
+    seg = {r.seg: r.n for r in sizes.collect()}
+    assert max(seg.values()) <= 100 and sum(seg.values()) == len(rows) and sorted(seg) == list(range(len(seg)))
+    assert [tuple(r)[:3] for r in sorted(found, key=lambda r: (r.seg, r.t, r.u, r.id))] == sorted(rows)
+    assert ordering.segments(df.limit(0), ("t", "u", "id"))[0].count() == 0
+    with pytest.raises(TypeError):
+        ordering.segments(df.withColumn("t", F.lit("x")), ("t", "id"))
+
+
+def test_rank_within_a_dominant_key(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SEGMENT_BYTES", 2_000)
+    rng = np.random.default_rng(8)
+    rows = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 9, 1500) // 6, rng.integers(0, 50, 1500)))]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint")
+    got = {r.id: r.nth for r in ordering.rank_within(df, ["k"], ("t", "id"), "nth").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        want |= {i: n + 1 for n, (_, i) in enumerate(sorted((t, i) for x, t, i in rows if x == k))}
+    assert got == want
+
+
 def test_running_sum_of_a_dominant_key(spark):
     rng = np.random.default_rng(7)
     rows = [(i, int(k), int(v)) for i, (k, v) in enumerate(zip(np.where(rng.random(2000) < 0.4, 1, rng.integers(2, 50, 2000)), rng.integers(1, 9, 2000)))]
