@@ -20,7 +20,7 @@ A text is the set of its distinct five-word shingles (hashed to 64 bits). Sets `
 
 Defined cases: texts with fewer than five words are one shingle; null and wordless texts are empty and link with
 nothing; rows with equal ids are texts of their own; a null id takes part, and a component of null ids only has a null
-id; further columns are carried by ``cluster``.
+id; ``cluster`` ignores further columns, ``distinct_documents`` returns them untouched.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from driftgate.llm.columns import aside
 from driftgate.llm.components import components
 from driftgate.llm.text import distinct_per_owner, lower, mix, shingles, slices, utf8, words
 from driftgate.session import WorkArea
@@ -525,18 +526,24 @@ def _labelled(docs: DataFrame, area: WorkArea) -> DataFrame:
 
 def cluster(docs: DataFrame, area: WorkArea) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``."""
-    return _labelled(docs, area).select("doc_id", "n_shingles", "component_id", F.col("h1").alias("class_id"))
+    labelled = _labelled(docs.select("doc_id", "text"), area)
+    return labelled.select("doc_id", "n_shingles", "component_id", F.col("h1").alias("class_id"))
 
 
 def distinct_documents(docs: DataFrame, area: WorkArea) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Texts without words all stay."""
-    rows = area.save(_labelled(docs.select("doc_id", "text"), area).select("key", "keeper", "n_shingles"), "labels")
-    gone = rows.filter("key <> keeper").select("key").distinct()
-    kept = docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("key"), "left_anti")
+    """One document of each group stays: the one with the smallest id. Texts without words all stay.
+
+    The documents' columns come back as they are, whatever their names.
+    """
+    own, restore = aside(docs, "doc_id", "text")
+    labels = _labelled(docs.select("doc_id", "text"), area).select("doc_id", "key", "keeper", "n_shingles")
+    rows = area.save(labels, "labels").withColumnRenamed("doc_id", "known_id")
+    same = (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("known_id"))
+    gone = rows.filter("key <> keeper").select("key", "known_id").distinct()
+    kept = own.withColumn("_key", row_key()).join(gone, same, "left_anti")
     # equal rows with equal ids share their key; one of them stays
-    twins = rows.filter("key = keeper AND n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    twins = rows.filter("key = keeper AND n_shingles > 0").groupBy("key", "known_id").agg(F.count("*").alias("n")).filter("n > 1")
     if twins.isEmpty():
-        return kept.drop("_key")
-    twin = F.col("_key") == F.col("key")
-    once = kept.join(twins, twin, "left_semi").dropDuplicates(["_key"])
-    return kept.join(twins, twin, "left_anti").unionAll(once).drop("_key")
+        return restore(kept)
+    once = kept.join(twins, same, "left_semi").dropDuplicates(["_key", "doc_id"])
+    return restore(kept.join(twins, same, "left_anti").unionAll(once))

@@ -11,7 +11,8 @@ Running sums go over blocks (a bounded number for each source) and then over the
 with a third of all rows is spread over all tasks. Only strata counts (at most ``STRATA`` numbers) reach the driver.
 
 Defined cases: null or wordless texts have size 0 and take 0 words; a null source is a source of its own, ordered last;
-repeated rows are documents of their own; an empty table gives an empty mix; further columns are carried by ``mix``.
+repeated rows are documents of their own; an empty table gives an empty mix; ``mix`` carries further columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from driftgate.llm.columns import free_name
 from driftgate.llm.text import WORD
 from driftgate.session import WorkArea
 
@@ -159,21 +161,26 @@ def plan(docs: DataFrame, area: WorkArea, seed: int = 7, shards: int = SHARDS) -
 
 def mix(spark: SparkSession, docs: DataFrame, area: WorkArea, seed: int = 7, shards: int = SHARDS) -> DataFrame:
     """The mix itself: the documents' columns, then ``copy, words`` (the first so many words of this copy belong to
-    the mix), ``shard`` and ``turn`` (order by it inside a shard).
+    the mix), ``shard`` and ``turn`` (order by it inside a shard); where a document column has one of these names, the
+    mix's own is named ``mix_copy`` and so on.
 
     A row is known by a 128-bit hash of all its columns; equal rows share it, and each takes its own part.
     """
-    known = F.concat(F.hex(F.xxhash64(*docs.columns)), F.hex(F.xxhash64(F.lit(seed), *docs.columns)))
-    base = docs.withColumn("_row", known)
-    sized = base.select(F.col("_row").alias("doc_id"), "source", size_of(F.col("text")).alias("size"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    known = F.concat(F.hex(F.xxhash64(*columns)), F.hex(F.xxhash64(F.lit(seed), *columns)))
+    base = docs.select(known.alias("row"), F.struct(*columns).alias("own"))
+    sized = base.select(F.col("row").alias("doc_id"), F.col("own.source").alias("source"), size_of(F.col("own.text")).alias("size"))
     taken = plan(area.save(sized, "sized"), area, seed, shards)
     rest = F.col("taken") - F.col("epochs") * F.col("size")
     copies = (
         taken.select("doc_id", "size", "epochs", "taken", F.posexplode("shards").alias("copy", "shard"))
         .withColumn("words", F.when(F.col("copy") < F.col("epochs"), F.col("size")).otherwise(rest))
         .withColumn("turn", F.xxhash64(F.lit(seed + 3), "doc_id", "copy"))
-        .select(F.col("doc_id").alias("_row"), "copy", "words", "shard", "turn")
+        .select(F.col("doc_id").alias("row"), "copy", "words", "shard", "turn")
+    )
+    # equal rows meet before the shuffle
+    one = base.dropDuplicates(["row"])
+    names = {c: free_name(c, docs.columns, "mix_") for c in ("copy", "words", "shard", "turn")}
+    return one.join(area.save(copies, "copies"), "row").select(
+        *[F.col("own")[c].alias(c) for c in docs.columns], *[F.col(c).alias(name) for c, name in names.items()]
     )
-    nth = F.count(F.lit(1)).over(W.partitionBy("_row").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
-    one = base.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-    return one.join(area.save(copies, "copies"), "_row").drop("_row")

@@ -10,7 +10,8 @@ Every document is scored.
 
 Defined cases: null and empty texts are texts without words and are scored as such; labels with a null id, null values
 or no document are left out; repeated labels of an id count once, the worst one; without any labels every document has
-level 0 and is kept. Repeated documents score alike; further columns are carried.
+level 0 and is kept. Repeated documents score alike; further columns are carried, and
+those named like an added one are replaced.
 """
 
 from __future__ import annotations

@@ -3,12 +3,13 @@
 Plain spans come from four fixed patterns, leftmost and non-overlapping per kind. Disguised ones come from a
 transducer that rewrites a text (homoglyphs, invisible characters, spelled digits, bracketed or spelled at and dot) and
 keeps for each written character the range of source characters it came from. The same patterns run on the rewritten
-text, and matches go back through those ranges. A disguised span that touches a plain one of its kind is left out, so
-plain spans stay as they are.
+text, and matches go back through those ranges. Plain spans stay as they are; a disguised span counts beside them if it
+reaches beyond the plain ones it touches, and is left out otherwise.
 
 Spans count code points, end exclusive. Texts are searched one by one, whole, in time linear in their length.
 
-Defined cases: a null text is empty and has no spans; repeated rows are searched alike; further columns are carried.
+Defined cases: a null text is empty and has no spans; repeated rows are searched alike; further columns are carried,
+and those named like an added one are replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Two deterministic transducers stand for the tokenizer:
 Texts never leave their task: no shuffle, no prefix of a text, no truncation. The special token's string inside a text
 counts as that one token, as the library has it by default.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows count alike; further columns are carried.
+Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows count alike; further columns are carried, and
+those named like an added one are replaced.
 """
 
 from __future__ import annotations

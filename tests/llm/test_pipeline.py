@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_chat_mixture import plain_targets
 from test_decontaminate import plain as plain_leaks
 from test_jaccard import plain as plain_groups
@@ -93,3 +94,35 @@ def test_empty_documents(spark, kept):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+#: Names that operators use inside, or add.
+CLASHES = """key _key _row _nth row own copy words shard turn shards level expected_grade p_safe p_good keep n_email n_ip n_card
+n_phone base_sha256 spans keeper component_id h1 h2 n_shingles root first least n size source_size target taken block place
+stratum class_id known_id doc item_id edits grade label _carried slots""".split()
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_clashing_columns_come_back_untouched(spark, stage):
+    """Every stage, given all of its own names as further columns, odd rows and repeated ones."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    twin = docs.limit(5)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "web", 0), (10**9 + 1, "word " * 300_000, "en", None, 7)], docs.schema)
+    wide = docs.unionAll(twin).unionAll(odd)
+    for i, name in enumerate(CLASHES):
+        wide = wide.withColumn(name, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    out = corpus_pipeline.STAGES[stage][1](spark, wide, SMALL)
+    assert out.columns[: len(wide.columns)] == wide.columns
+    extra = out.columns[len(wide.columns) :]
+    assert extra == ([f"mix_{c}" for c in ("copy", "words", "shard", "turn")] if stage == 4 else [])
+    rows = out.collect()
+    assert rows
+    for r in rows[:50]:
+        assert [r[c] for c in CLASHES] == [f"{i}:{'-' if r.doc_id is None else r.doc_id}" for i in range(len(CLASHES))]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_an_empty_table(spark, stage):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, SMALL)
+    assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
