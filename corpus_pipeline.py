@@ -1,7 +1,7 @@
 """The corpus pipeline over ``documents``: quality, near duplicates, benchmark leaks, personal data, mixture.
 
-Each stage works on all that its predecessor kept and returns the columns of ``documents``; the last returns the mix,
-one row for each copy that it takes. No stage can be expressed in SQL from end to end (learned classifier, hashed
+Each stage works on all that its predecessor kept and returns the columns of ``documents``, whatever further ones there
+are; the last returns the mix, one row for each copy that it takes. No stage can be expressed in SQL from end to end (learned classifier, hashed
 search, seeded draws), so there is none; tests hold every stage against a brute-force version.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftgate.llm import decontaminate, jaccard, mixture, ordinal, pii
+from driftgate.llm.columns import PACKED, aside
 from driftgate.session import WorkArea, ship_package
 
 
@@ -21,7 +22,8 @@ def _given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled documents that are still there."""
     model = ordinal.train(docs, _given(spark, sf_dir, "labels"))
-    return ordinal.score(docs, model).filter("keep").select(docs.columns)
+    own, restore = aside(docs, "text")
+    return restore(ordinal.score(own, model).filter("keep"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; ``n_chars`` follows the text."""
     ship_package(spark)
-    masked = pii.annotate(docs, masked=True).select(docs.columns)
-    if "n_chars" not in docs.columns:
-        return masked
-    size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return masked.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
+    own, restore = aside(docs, "text")
+    size = {}
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        size["n_chars"] = F.coalesce(length, F.col(PACKED)["n_chars"])
+    return restore(pii.annotate(own, masked=True), **size)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
