@@ -14,7 +14,7 @@ Texts are sequences of lower-cased words cut at signs. A document holds an item
    as many words as the parts of the band have.
 3. LSH samples ``SAMPLED`` steps of the walk for each table; tables over several walks are repeated until the target
    recall is reached for ``AGREE``, the share of equal steps that is assumed of a window at the edit limit.
-4. Each candidate is verified by its exact edit distance; around the parts found of a longer item, all windows are.
+4. Candidates are verified by their exact edit distances, many of one length at a time; around the parts found of a longer item, all windows are.
 
 Documents stay in their tasks. Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over the
 documents for each block, so what is sent is bounded however many items there are.
@@ -44,6 +44,8 @@ SAMPLED = 3
 AGREE = 0.42  # measured: parts of 5 to PART words at the edit limit are then found as often as RECALL says
 RECALL = 0.99
 BLOCK_BYTES = 8 << 20
+BITS = 16  # of a key, looked at before the key is searched
+TOGETHER = 4096  # candidates verified at a time
 GAP = np.uint64(0)  # stands behind the end of a text
 
 
@@ -61,20 +63,30 @@ def walk(stream: np.ndarray, starts: np.ndarray, steps: int, seed: int) -> np.nd
     return out
 
 
-def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> int:
-    """Least word edits between the item and any beginning of the window; ``most + 1`` if there are more."""
-    if len(window) >= len(item) and (item == window[: len(item)]).all():
-        return 0
-    place = np.arange(len(window) + 1)
-    row = place.copy()
-    for i, word in enumerate(item, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[:-1] + (window != word), row[1:] + 1)
-        row = np.minimum.accumulate(best - place) + place  # insertions run to the right
-        if row.min() > most:
-            return most + 1
-    return int(min(row.min(), most + 1))
+def edit_distances(items: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
+    """Row by row the least word edits between an item and any beginning of its window; ``most + 1`` if there are more."""
+    out = np.full(len(items), most + 1)
+    alive = np.arange(len(items))
+    place = np.arange(windows.shape[1] + 1, dtype=np.int16)
+    row = np.broadcast_to(place, (len(items), len(place)))
+    for i in range(items.shape[1]):
+        best = np.empty(row.shape, np.int16)
+        best[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (windows != items[:, i, None]), row[:, 1:] + 1, out=best[:, 1:])
+        row = np.minimum.accumulate(best - place, axis=1) + place  # insertions run to the right
+        near = row.min(1) <= most
+        if not near.all():
+            alive, row, items, windows = alive[near], row[near], items[near], windows[near]
+    out[alive] = row.min(1) if len(alive) else 0
+    return out
+
+
+def shared(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Row by row how many words of an item occur in its window."""
+    out = np.zeros(len(items), np.int16)
+    for i in range(items.shape[1]):
+        out += (windows == items[:, i, None]).any(1)
+    return out
 
 
 def best_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
@@ -120,6 +132,7 @@ class Band:
     samples: list[np.ndarray]  # for each table the steps it reads
     keys: list[np.ndarray]
     parts: list[np.ndarray]  # part numbers in the order of the keys
+    bits: list[np.ndarray]  # for each table which first bits its keys have
 
 
 def _key(written: np.ndarray, sample: np.ndarray) -> np.ndarray:
@@ -140,6 +153,11 @@ class Items:
         self.edits = [math.floor(share * len(x)) for x in self.words]
         self.parts = [x for i, own in enumerate(self.words) for x in parts_of(i, own, self.edits[i])]
         self.gap = max((len(x.words) + x.edits for x in self.parts), default=0) + 2
+        self.sizes = np.array([len(x.words) for x in self.parts], np.int64)
+        self.most = np.array([x.edits for x in self.parts], np.int64)
+        #: The parts of each length as a matrix, and the row of each part.
+        self.rows = {n: np.stack([x.words for x in self.parts if len(x.words) == n]) for n in set(self.sizes.tolist())}
+        self.row_of = np.array([np.count_nonzero(self.sizes[:i] == n) for i, n in enumerate(self.sizes)], np.int64)
         self.bands: list[Band] = []
         rng = np.random.default_rng(seed)
         size = [len(x.words) for x in self.parts]
@@ -152,7 +170,7 @@ class Items:
             stream = np.concatenate([np.concatenate([self.parts[i].words, np.full(self.gap, GAP)]) for i in own])
             starts = np.cumsum([0, *(size[i] + self.gap for i in own[:-1])])
             edits = max(self.parts[i].edits for i in own)
-            band = Band(shortest, edits, np.unique(np.concatenate([self.parts[i].words for i in own])), steps, [], [], [])
+            band = Band(shortest, edits, np.unique(np.concatenate([self.parts[i].words for i in own])), steps, [], [], [], [])
             tables = -(-tables_for() // WALKS) if edits else 1
             for seed_ in range(WALKS if edits else 1):
                 written = walk(stream, starts, steps, seed_)
@@ -163,6 +181,9 @@ class Items:
                     band.samples.append(sample)
                     band.keys.append(key[by])
                     band.parts.append(np.array(own)[by])
+                    bits = np.zeros(1 << BITS, bool)
+                    bits[key >> np.uint64(64 - BITS)] = True
+                    band.bits.append(bits)
             self.bands.append(band)
 
     def find(self, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
@@ -177,26 +198,12 @@ class Items:
         stream[place] = w.hash
         best: dict[tuple[int, int], tuple[int, int]] = {}
         anchors: dict[tuple[int, int], set[int]] = {}
-        for start, number in self._candidates(stream, place):
+        for start, number, distance in self._verified(stream, place):
             part = self.parts[number]
-            text, item, at = owner[start], part.item, place[start]
-            whole = len(part.words) == len(self.words[item])
-            have = best.get((text, item))
-            if whole and have and have[0] == 0:
-                continue
-            if not whole and start - part.offset in anchors.get((text, item), ()):
-                continue
-            own, edits = part.words, part.edits
-            window = stream[at : at + len(own) + edits]
-            window = window[: int(np.argmax(window == GAP))] if window[-1] == GAP else window
-            if np.isin(own, window).sum() < len(own) - edits:
-                continue
-            distance = edit_distance(own, window, edits)
-            if distance > edits:
-                continue
-            if not whole:
+            text, item = owner[start], part.item
+            if len(part.words) != len(self.words[item]):
                 anchors.setdefault((text, item), set()).add(start - part.offset)
-            elif have is None or (distance, start) < have:
+            elif (distance, start) < best.get((text, item), (part.edits + 1, 0)):
                 best[text, item] = (distance, start)
         for (text, item), at in anchors.items():
             own, edits = self.words[item], self.edits[item]
@@ -213,7 +220,26 @@ class Items:
         for (text, item), (distance, start) in sorted(best.items()):
             yield int(text), item, distance, int(start - w.first[text])
 
-    def _candidates(self, stream: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _verified(self, stream: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Word, part and distance of all candidates within the part's edits; parts of one length are verified together."""
+        for starts, numbers in self._candidates(stream, place):
+            for length in np.unique(self.sizes[numbers]).tolist():
+                alike = np.flatnonzero(self.sizes[numbers] == length)
+                rows = self.rows[length]
+                for most in np.unique(self.most[numbers[alike]]).tolist():
+                    own = alike[self.most[numbers[alike]] == most]
+                    for at in range(0, len(own), TOGETHER):
+                        some = own[at : at + TOGETHER]
+                        items = rows[self.row_of[numbers[some]]]
+                        windows = stream[place[starts[some]][:, None] + np.arange(length + most)]
+                        some_fit = np.flatnonzero(shared(items, windows) >= length - most)
+                        some, items, windows = some[some_fit], items[some_fit], windows[some_fit]
+                        distance = edit_distances(items, windows, most)
+                        hit = distance <= most
+                        yield from zip(starts[some[hit]].tolist(), numbers[some[hit]].tolist(), distance[hit].tolist(), strict=True)
+
+    def _candidates(self, stream: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words and part numbers of the candidates of each band."""
         for band in self.bands:
             at = np.minimum(np.searchsorted(band.vocabulary, stream), len(band.vocabulary) - 1)
             known = np.concatenate([[0], np.cumsum((band.vocabulary[at] == stream) & (stream != GAP))])
@@ -227,13 +253,16 @@ class Items:
                 if t % tables == 0:
                     written = walk(stream, place[starts], band.steps, t // tables)
                 key = _key(written, sample)
+                # most keys are none of the parts', which a look at their first bits tells
+                maybe = np.flatnonzero(band.bits[t][key >> np.uint64(64 - BITS)])
+                key = key[maybe]
                 low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 hit = np.flatnonzero(high > low)
                 count = (high - low)[hit]
                 part = parts[np.repeat(low[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                found.append(np.repeat(starts[hit], count) * len(self.parts) + part)
+                found.append(np.repeat(starts[maybe[hit]], count) * len(self.parts) + part)
             pairs = np.unique(np.concatenate(found))
-            yield from zip((pairs // len(self.parts)).tolist(), (pairs % len(self.parts)).tolist(), strict=True)
+            yield pairs // len(self.parts), pairs % len(self.parts)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:

@@ -171,4 +171,21 @@ def test_items_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_edit_distance(n):
     a = np.arange(1, 11, dtype=np.uint64)
-    assert decontaminate.edit_distance(a, np.delete(a, range(3, 3 + n)), 2) == n
+    assert decontaminate.edit_distances(a[None], np.delete(a, range(3, 3 + n))[None], 2).tolist() == [n]
+
+
+def test_batched_distances():
+    """Each row against the plain table, with ends of texts inside windows."""
+    rng = np.random.default_rng(6)
+    items, windows = rng.integers(1, 5, (300, 8)).astype(np.uint64), rng.integers(1, 5, (300, 11)).astype(np.uint64)
+    windows[::7, 6:] = decontaminate.GAP
+    windows[::3, :8] = items[::3]
+    for most in (0, 2, 3):
+        got = decontaminate.edit_distances(items, windows, most)
+        for item, window, found in zip(items.tolist(), windows.tolist(), got.tolist()):
+            row = list(range(len(window) + 1))
+            for i, a in enumerate(item, 1):
+                last, row = row, [i]
+                for j, b in enumerate(window):
+                    row.append(min(last[j] + (a != b), last[j + 1] + 1, row[j] + 1))
+            assert found == min(min(row), most + 1)
