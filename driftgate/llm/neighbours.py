@@ -7,8 +7,9 @@ squared exceeds the law's ``CONFIDENCE`` quantile times the squared distance of
 vector is still unseen with probability 1 - CONFIDENCE at most, and the search stops.
 
 The upper levels of the kd-tree are fitted to a bounded sample and cut the table into cells; each cell sorts its own
-rows into leaves. A query first searches the cell it falls in, then every cell that its stopping test doesn't rule out;
-leaves are visited nearest first. All scores are inner products of the original vectors in double precision.
+rows by leaves, and one that has outgrown ``CELL_ROWS`` is searched in chunks. A query first searches the cell it falls in, then every cell that its
+stopping test doesn't rule out; in a cell single vectors are verified in shells of growing projected distance until the
+test holds. All scores returned are inner products of the original vectors in double precision.
 
 Equal vectors could fill a cell: of each vector only the ``k + 1`` smallest ids take part, as no other can be among a
 query's k nearest. Equal queries are searched once.
@@ -29,8 +30,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftgate.session import WorkArea
 
-DIMENSIONS = 8
-CONFIDENCE = 0.97
+DIMENSIONS = 16
+CONFIDENCE = 0.93
+#: Parts of the largest squared distance that can matter, after which the k-th best score is looked at again.
+SHELLS = (0.5, 0.7, 0.85, 1)
 CELL_ROWS = 8192
 MAX_DEPTH = 16
 LEAF_ROWS = 128
@@ -117,7 +120,7 @@ def _gap2(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _leaves(p: np.ndarray) -> list[np.ndarray]:
-    """Rows of a cell cut at medians of the widest axis down to leaves."""
+    """Rows of a part of a cell cut at medians of the widest axis down to leaves."""
     todo, out = [np.arange(len(p))], []
     while todo:
         rows = todo.pop()
@@ -130,9 +133,42 @@ def _leaves(p: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def verified(x: np.ndarray, x32: np.ndarray, ids: np.ndarray, away: np.ndarray, q: np.ndarray, k: int, ceiling: float, bound: float):
+    """Best ``k`` of the rows for one query, and how many rows were verified.
+
+    ``away`` is each row's projected squared distance. Rows are verified in shells of growing distance; after each shell
+    the k-th best score gives the distance beyond which the chi-square test rules a row out. Scores are first taken in
+    single precision; those that may be among the best are then taken in double precision, row by row, so that equal
+    vectors get equal scores.
+    """
+    own, slack = float(q @ q), 1e-5 * math.sqrt(max(float(q @ q) * ceiling, 0.0))
+    short, least = q.astype(np.float32), bound
+
+    def limit() -> float:
+        return STOP * max(own + ceiling - 2 * (least - slack), 0.0)
+
+    near = min(len(ids), 4 * k)
+    rows = np.argpartition(away, near - 1)[:near] if near < len(ids) else np.arange(len(ids))
+    score = x32[rows] @ short
+    reached = float(away[rows].max())
+    for share in SHELLS:
+        if len(score) >= k:
+            least = max(least, float(np.partition(score, -k)[-k]))
+        upto = limit() if share == 1 else max(reached, share * limit())
+        more = np.flatnonzero((away > reached) & (away <= upto))
+        reached = max(reached, upto)
+        rows, score = np.append(rows, more), np.append(score, x32[more] @ short)
+    count = len(rows)
+    if len(score) > k:
+        best = score >= np.partition(score, -k)[-k] - 2 * slack
+        rows = rows[best]
+    exact = (x[rows] * q).sum(1)
+    order = np.lexsort((ids[rows], -exact))[:k]
+    return ids[rows[order]], exact[order], count
+
+
 def _search(tree: Tree, k: int):
-    """Best ``k`` of a cell for each of its queries, from leaves in order of projected distance."""
-    ceiling = tree.longest
+    """Best ``k`` of a part of a cell for each of its queries."""
 
     def apply(data: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -141,30 +177,15 @@ def _search(tree: Tree, k: int):
         x, ids = dense(data["vector"], tree.width), data["vec_id"].to_numpy()
         q, key, bound = dense(queries["vector"], tree.width), queries["query"].to_numpy(), queries["bound"].to_numpy()
         p, pq = tree.project(x), tree.project(q, query=True)
-        leaves = _leaves(p)
-        order = np.concatenate(leaves)
+        order = np.concatenate(_leaves(p))  # neighbours lie together
         x, ids, p = x[order], ids[order], p[order]
-        edge = np.cumsum([0, *map(len, leaves)])
-        low = np.stack([p[a:b].min(0) for a, b in zip(edge[:-1], edge[1:], strict=True)])
-        high = np.stack([p[a:b].max(0) for a, b in zip(edge[:-1], edge[1:], strict=True)])
-        out = []
-        for i in range(len(q)):
-            gap = _gap2(pq[i : i + 1], low, high)[0]
-            near, at, step = np.argsort(gap, kind="stable"), 0, 4
-            own, least = float(q[i] @ q[i]), bound[i]
-            found_id, found = np.zeros(0, np.int64), np.zeros(0)
-            while at < len(near):
-                if gap[near[at]] > STOP * max(own + ceiling - 2 * least, 0):
-                    break
-                rows = np.concatenate([np.arange(edge[n], edge[n + 1]) for n in near[at : at + step]])
-                at, step = at + step, step * 2
-                score = (x[rows] * q[i]).sum(1)  # row by row: equal vectors get equal scores
-                found_id, found = np.concatenate([found_id, ids[rows]]), np.concatenate([found, score])
-                best = np.lexsort((found_id, -found))[:k]
-                found_id, found = found_id[best], found[best]
-                if len(found) == k:
-                    least = max(least, found[-1])
-            out.append((np.full(len(found), key[i]), found_id, found))
+        x32, length, out = x.astype(np.float32), (p * p).sum(1), []
+        for at in range(0, len(q), 64):
+            part = pq[at : at + 64]
+            away = (part * part).sum(1)[:, None] + length - 2 * (part @ p.T)
+            for i, row in enumerate(away, at):
+                found_id, found, _ = verified(x, x32, ids, row, q[i], k, tree.longest, bound[i])
+                out.append((np.full(len(found), key[i]), found_id, found))
         return pa.table(dict(zip(("query", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return apply
@@ -209,6 +230,10 @@ def search(vectors: DataFrame, is_query: Column, k: int, area: WorkArea) -> Data
 
     kind = own.schema["vector"].dataType.simpleString()
     data = area.save(kept.mapInArrow(placed(False), f"vec_id bigint, vector {kind}, cell bigint"), "cells")
+    # a cell that has grown beyond its size is searched in chunks
+    chunks = data.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("bigint").alias("chunks"))
+    chunks = area.save(chunks, "chunks")
+    data = data.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).drop("chunks")
     asked = own.filter(is_query)
     queries = asked.groupBy("query").agg(F.min("vector").alias("vector"))
     queries = area.save(queries.mapInArrow(placed(True), f"query bigint, vector {kind}, cell bigint"), "queries")
@@ -218,9 +243,14 @@ def search(vectors: DataFrame, is_query: Column, k: int, area: WorkArea) -> Data
         busy = routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_GROUP).cast("bigint").alias("parts"))
         parted = routed.join(busy, "cell").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")))
         copies = data.join(busy, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        left = copies.select("cell", "part", "vec_id", "vector").groupBy("cell", "part")
-        right = parted.select("cell", "part", "query", "vector", "bound").groupBy("cell", "part")
-        return area.save(left.cogroup(right).applyInArrow(_search(tree, k + 1), schema), name)
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk")
+        parted = parted.join(chunks, "cell").select("cell", "part", each, "query", "vector", "bound")
+        group = ("cell", "part", "chunk")
+        left = copies.select(*group, "vec_id", "vector").groupBy(*group)
+        hits = left.cogroup(parted.groupBy(*group)).applyInArrow(_search(tree, k + 1), schema)
+        nearest = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        first = hits.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= k + 1).drop("nth")
+        return area.save(first, name)
 
     home = found(queries.withColumn("bound", F.lit(float("-inf"))), "home")
     bound = home.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("bound"))

@@ -85,3 +85,38 @@ def test_cases(spark):
 
 def test_chi_square_quantile():
     assert neighbours.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+def share_verified(x, k=20, step=20):
+    """Share of the rows verified for a query, and recall, in one cell without a bound from elsewhere."""
+    ids, longest = np.arange(len(x)), float((x * x).sum(1).max())
+    tree = neighbours.Tree(x.shape[1], longest, 0)
+    p, asked, rows, hits = tree.project(x), range(0, len(x), step), 0, 0
+    for i in asked:
+        away = ((p - tree.project(x[i : i + 1], True)) ** 2).sum(1)
+        found, _, count = neighbours.verified(x, x.astype(np.float32), ids, away, x[i], k, longest, -np.inf)
+        rows += count
+        hits += len(set(found.tolist()) & set(np.argsort(-(x @ x[i]), kind="stable")[:k].tolist()))
+    return rows / len(x) / len(asked), hits / k / len(asked)
+
+
+def test_the_stopping_test_prunes(spark):
+    """The table's vectors of 64 components are hard to tell apart by 16 projections; clustered ones are not."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    share, recall = share_verified(np.array([r[0] for r in table], np.float64))
+    assert share < 0.8 and recall >= 0.95
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((12, 24)) * 3
+    share, recall = share_verified(centres[rng.integers(0, 12, 4000)] + rng.standard_normal((4000, 24)))
+    assert share < 0.6 and recall >= 0.95
+
+
+def test_a_cell_beyond_its_size(spark, monkeypatch):
+    """No further cells, so chunks keep the groups small."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
+    monkeypatch.setattr(neighbours, "MAX_DEPTH", 1)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((900, 8)).astype(np.float32))]
+    df = spark.createDataFrame([(*r, 0) for r in rows], VEC)
+    got = collected(neighbours.search(df, F.col("vec_id") % 9 == 0, 10, WorkArea(spark, "t")))
+    assert recall(got, brute(rows, 10, lambda i: i % 9 == 0)) >= 0.95
