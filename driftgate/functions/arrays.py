@@ -6,9 +6,15 @@ The arrays hold one number per sketch row, so their length is the sketch depth.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, functions as F
 
+from driftgate.functions.quorum import least_ratio_column
+
+#: Subsets that are written into a plan; 35 of them for seven rows.
+MOST_LITERALS = 126
+
 
 def upper_median(values: Column) -> Column:
     """Element n/2 of the sorted array; the upper one of the two middle values when n is even."""
@@ -71,9 +77,12 @@ def quorum_fast(z_ref: Column, z_row: Column, k: int) -> Column:
 def quorum_eikonal(z_ref: Column, z_row: Column, k: int, depth: int) -> Column:
     """k-of-n score with unit gradient: the least ``sum(zE*zX)/sqrt(sum(zE^2))`` over the subsets of size |L|-k+1.
 
-    Which subsets there are depends only on how many components are legal, so they are literals.
+    Which subsets there are depends only on how many components are legal, so they are literals as long as they are
+    few; for deeper sketches they are searched.
     """
     products, squares = _legal_products(z_ref, z_row)
+    if not few_subsets(depth, k):
+        return _checked(products, k, least_ratio_column(products, squares, k))
     legal = F.struct(products.alias("p"), squares.alias("q"))
 
     def added(values: Column, pick: Column) -> Column:
@@ -89,6 +98,21 @@ def quorum_eikonal(z_ref: Column, z_row: Column, k: int, depth: int) -> Column:
     return F.element_at(F.transform(F.array(legal), least), 1)
 
 
+def few_subsets(depth: int, k: int) -> bool:
+    return max(comb(legal, legal - k + 1) for legal in range(k, depth + 1)) <= MOST_LITERALS
+
+
+def quorum_known(reference: list[float], z: str, k: int, eikonal: bool = True) -> Column:
+    """The k-of-n score of the array column ``z`` for a known reference."""
+    legal, m = _legal_subsets(reference, k)
+    if not eikonal or comb(len(legal), m) <= MOST_LITERALS:
+        return F.expr(quorum_sql(reference, z, k, eikonal))
+    weights = sql_array([reference[i] for i in legal])
+    picked = ", ".join(f"{z}[{i}]" for i in legal)
+    products = F.expr(f"zip_with({weights}, array({picked}), (a, b) -> a * b)")
+    return least_ratio_column(products, F.expr(f"transform({weights}, a -> a * a)"), k)
+
+
 def _subsets(size: Column, k: int, depth: int) -> Column:
     """All index sets of size ``size-k+1`` out of 1..size."""
     result = None

@@ -203,9 +203,9 @@ class SketchF2(MonitorSpec):
             f"zip_with({along}, {low}, (n, t) -> n - t) as ref_lower",
         )
         k = arrays.majority(self.depth)
-        sides = [arrays.quorum_sql(zone[s], s, k, self.eikonal) for s in self._sides(zone)]
-        phi = f"least({', '.join(sides)})" if len(sides) > 1 else sides[0]
-        return rows.selectExpr("site", "slot", f"{phi} as phi")
+        sides = [arrays.quorum_known(zone[s], s, k, self.eikonal) for s in self._sides(zone)]
+        phi = F.least(*sides) if len(sides) > 1 else sides[0]
+        return rows.select("site", "slot", phi.alias("phi"))
 
 
 @dataclass
@@ -273,8 +273,8 @@ class SketchJoin(MonitorSpec):
             arrays.by_row(F.col("d"), F.col("z_upper")).alias("upper"),
         )
         k = arrays.majority(self.depth)
-        sides = [arrays.quorum_sql(zone[f"ref_{s}"], s, k, self.eikonal) for s in ("lower", "upper")]
-        return packed.selectExpr("site", "slot", f"least({', '.join(sides)}) as phi")
+        sides = [arrays.quorum_known(zone[f"ref_{s}"], s, k, self.eikonal) for s in ("lower", "upper")]
+        return packed.select("site", "slot", F.least(*sides).alias("phi"))
 
 
 def named_spec(query: str | MonitorSpec, eps: float, shape: SketchShape | None = None) -> MonitorSpec:

@@ -194,3 +194,50 @@ def test_join_zone_is_sound(spark):
     for i, p in phi.items():
         if p >= 0:
             assert size - eps * abs(size) <= answer(e + drifts[i]) <= size + eps * abs(size)
+
+
+@pytest.mark.parametrize("depth, rows", [(5, 40), (15, 25), (21, 4)])
+def test_least_ratio_equals_all_subsets(depth, rows):
+    """Positive, mixed and negative products, equal components, and components that hardly count."""
+    from itertools import combinations
+
+    from driftgate.functions.quorum import least_ratio
+
+    rng = np.random.default_rng(depth)
+    for shift in (0.0, 1.5, -1.5):
+        e, x = rng.random((rows, depth)) + 0.01, rng.standard_normal((rows, depth)) + shift
+        e[::3, : depth // 2] = 0.5
+        x[::3, : depth // 2] = 0.25
+        m = depth - (depth + 1) // 2 + 1
+        picks = np.array(list(combinations(range(depth), m)))
+        p, q = e * x, e * e
+        want = [(a[picks].sum(1) / np.sqrt(b[picks].sum(1))).min() for a, b in zip(p, q)]
+        assert least_ratio(p, q, m) == pytest.approx(want, rel=1e-12)
+
+
+def test_front_in_halves(monkeypatch):
+    from driftgate.functions import quorum
+
+    rng = np.random.default_rng(2)
+    p, q = rng.standard_normal((30, 13)) + 1, rng.random((30, 13)) + 0.1
+    whole = quorum.least_ratio(p, q, 7)
+    monkeypatch.setattr(quorum, "FRONT", 16)
+    monkeypatch.setattr(quorum, "ROWS", 7)
+    assert quorum.least_ratio(p, q, 7) == pytest.approx(whole, rel=1e-12)
+
+
+def test_deep_quorum_column(spark):
+    """Fifteen rows: searched instead of 6,435 literals; the plan does not grow with the subsets, and both forms agree."""
+    rng = np.random.default_rng(4)
+    ref, rows = (rng.random(15) - 0.1).tolist(), rng.standard_normal((20, 15)).tolist()
+    k = 8
+    df = spark.createDataFrame([(i, z) for i, z in enumerate(rows)], "id int, z array<double>")
+    literal = F.array(*map(F.lit, ref))
+    out = df.select("id", arrays.quorum_eikonal(literal, F.col("z"), k, 15).alias("a"), arrays.quorum_known(ref, "z", k).alias("b"))
+    want = [plain_quorum(np.array(ref), np.array(z), k) for z in rows]
+    got = out.orderBy("id").collect()
+    assert [r.a for r in got] == pytest.approx(want) and [r.b for r in got] == pytest.approx(want)
+    assert len(out._jdf.queryExecution().toString()) < 40_000
+    short = F.array(*[F.lit(1.0)] * 7 + [F.lit(-1.0)] * 8)
+    with pytest.raises(Exception, match="admissible"):
+        df.select(arrays.quorum_eikonal(short, F.col("z"), k, 15)).collect()
