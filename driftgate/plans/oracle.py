@@ -496,16 +496,15 @@ def _counters() -> str:
 FROM gr JOIN (SELECT slot, sum(sum(gained)) OVER (ORDER BY slot) AS total FROM gr GROUP BY slot) USING (slot)"""
 
 
-def _quorum(eikonal: bool) -> str:
-    n = len(TYPES)
+def _quorum(eikonal: bool, component: str = "b", n: int = len(TYPES), k: int = 3) -> str:
     return _with(
         EV,
-        f"ref0 AS (SELECT b AS d, CAST(count(*) AS DOUBLE) AS v FROM ev WHERE day < {WARM_DAYS} GROUP BY b)",
+        f"ref0 AS (SELECT {component} AS d, CAST(count(*) AS DOUBLE) AS v FROM ev WHERE day < {WARM_DAYS} GROUP BY ALL)",
         f"ref AS (SELECT d, v - 0.25 * (SELECT sum(v) FROM ref0) / {n} AS ref FROM ref0)",
         f"users AS (SELECT DISTINCT a FROM ev WHERE day >= {WARM_DAYS})",
         f"""rows_ AS (SELECT users.a, ref.d, ref.ref, count(ev.a) - CAST(1 AS DOUBLE) AS z
-  FROM users CROSS JOIN ref LEFT JOIN ev ON ev.a = users.a AND ev.b = ref.d AND ev.day >= {WARM_DAYS} GROUP BY ALL)""",
-        *quorum_ctes("rows_", "a", "q", 3, n, eikonal),
+  FROM users CROSS JOIN ref LEFT JOIN ev ON ev.a = users.a AND {component} = ref.d AND ev.day >= {WARM_DAYS} GROUP BY ALL)""",
+        *quorum_ctes("rows_", "a", "q", k, n, eikonal),
     ) + f"SELECT a, {_r('score', 'score')} FROM q"
 
 
@@ -704,6 +703,7 @@ UNION ALL SELECT 'customer_supplier', CAST(count(*) AS DOUBLE) FROM customer JOI
         + f"SELECT {_r(f'{_dbl(0.5 * SITES)} * least(qu.score, ql.score)', 'psi_beta')} FROM qu, ql",
         "quorum_eikonal": _quorum(True),
         "quorum_fast": _quorum(False),
+        "quorum_deep": _quorum(True, f"(ts_ms // {2 * HOUR}) % 12", 12, 6),
         "zone_hyperbola": _with(
             EV,
             "u AS (SELECT a, CAST(count(*) FILTER (WHERE b = 1) AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE b = 2) AS DOUBLE) AS y FROM ev GROUP BY a)",

@@ -407,23 +407,25 @@ def zone_f2(spark, folder):
     return _zone_f2(spark, folder)
 
 
-def _quorum(spark, folder, eikonal: bool) -> DataFrame:
-    """Quorum over plain per-type counts: five inputs, three of which must hold.
+def _quorum(
+    spark, folder, eikonal: bool, component: Callable[[], Column] = lambda: F.col("b"), n: int = len(TYPES), k: int = 3
+) -> DataFrame:
+    """Quorum over plain per-type counts: five inputs, three of which must hold, or other components of events.
 
     Inputs per user: count minus a quarter of the user's mean; the reference is the first ten days.
     """
     daily = _daily(spark, folder)
-    counts = lambda df, *by: df.groupBy(*by, F.col("b").alias("d")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    counts = lambda df, *by: df.groupBy(*by, component().alias("d")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     reference = counts(_before(daily)).agg(arrays.by_row(F.col("d"), F.col("v")).alias("r"))
     centred = F.transform("r", lambda c: c - F.lit(0.25) * arrays.total(F.col("r")) / F.size("r"))
-    ids = F.array(*[F.lit(i).cast("bigint") for i in range(len(TYPES))])
+    ids = F.array(*[F.lit(i).cast("bigint") for i in range(n)])
     rows = counts(_after(daily), "a").groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))
     scored = rows.select(
         "a",
         F.transform(ids, lambda d: F.coalesce(F.col("m")[d], F.lit(0.0)) - F.lit(1.0)).alias("z"),
         reference.select(centred).scalar().alias("ref"),
     )
-    return scored.select("a", _r(zones.quorum(F.col("ref"), F.col("z"), 3, len(TYPES), eikonal), "score"))
+    return scored.select("a", _r(zones.quorum(F.col("ref"), F.col("z"), k, n, eikonal), "score"))
 
 
 @query
@@ -436,6 +438,12 @@ def quorum_fast(spark, folder):
     return _quorum(spark, folder, False)
 
 
+@query
+def quorum_deep(spark, folder):
+    """Twelve inputs, counts by two hours of the day, six of which must hold: subsets are searched, not listed."""
+    return _quorum(spark, folder, True, lambda: F.pmod(windows.slot_of(F.col("ts_ms"), 2 * HOUR), F.lit(12)), 12, 6)
+
+
 @query
 def zone_hyperbola(spark, folder):
     """Score of (clicks, purchases) per user against x^2 - y^2 >= T around the mean user, for three T."""
