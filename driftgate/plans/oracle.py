@@ -729,6 +729,8 @@ FROM ev, range(24) o(i) GROUP BY ALL""",
   CAST(max(total) AS DOUBLE) AS total, CAST(min(low) AS DOUBLE) AS low, CAST(max(high) AS DOUBLE) AS high
 FROM (SELECT site, (ts_ms // 5000 - 199 + i) * 5000 AS start, count(*) AS n, sum(a) AS total, min(a) AS low, max(a) AS high
   FROM ev, range(200) o(i) GROUP BY ALL) GROUP BY ALL""",
+        "user_moments": ev
+        + f"SELECT site, slot, count(*) AS n, {_r('avg(a)', 'mean')}, {_r('var_pop(a)', 'variance')} FROM ev GROUP BY ALL",
         "pane_delta": ev
         + """SELECT site, x, slot, sum(v) AS v FROM (
   SELECT site, x, slot, val AS v FROM ev UNION ALL SELECT site, x, slot + 3, -val FROM ev) GROUP BY ALL HAVING sum(v) <> 0""",

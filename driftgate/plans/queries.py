@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftgate.functions import arrays
 from driftgate.functions.hyperbola import hyperbola_score
 from driftgate.functions.keys import PRIME, SketchShape, pair_key, site_of
-from driftgate.operators import counters, logs, ordering, profiles, sketch, vectors, windows, zones
+from driftgate.operators import accumulators, counters, logs, ordering, profiles, sketch, vectors, windows, zones
 from driftgate.plans.gate import GateConfig, monitor, slot_deltas, throughput
 from driftgate.plans.spec import ExactF2, SketchF2
 from driftgate.session import WorkArea
@@ -540,6 +540,15 @@ def window_fine(spark, folder):
     )
 
 
+@query
+def user_moments(spark, folder):
+    """A user's own accumulator: moments of the keys in every window slot of a site."""
+    found = accumulators.aggregate(
+        windows.with_slot(events(spark, folder), DAY), ["site", "slot"], accumulators.Moments(), x=F.col("a")
+    )
+    return found.select("site", "slot", "n", _r("mean"), _r("variance"))
+
+
 @query
 def pane_delta(spark, folder):
     totals = vectors.build(windows.with_slot(events(spark, folder), DAY), ("site", "slot"))
