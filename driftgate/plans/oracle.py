@@ -661,6 +661,7 @@ def all_sql() -> dict[str, str]:
         "f2_exact": ev + f"SELECT sum(v * v) AS f2 FROM (SELECT sum(val) / {SITES} AS v FROM ev GROUP BY x)",
         "f2_checkpoints": _f2_checkpoints(),
         "sketch_cells": SKETCHED + "SELECT site, d, w, v FROM s",
+        "sketch_packed": SKETCHED + "SELECT site, d, w, v FROM s WHERE v <> 0",
         "sketch_add": SKETCHED + "SELECT d, w, sum(v) AS v FROM s WHERE site IN (0, 1) GROUP BY d, w",
         "sketch_subtract": SKETCHED + "SELECT d, w, sum(CASE WHEN site = 0 THEN v ELSE -v END) AS v FROM s WHERE site IN (0, 1) GROUP BY d, w",
         "sketch_scale": SKETCHED + "SELECT site, d, w, v * 0.5 AS v FROM s",

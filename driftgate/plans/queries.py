@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftgate.functions import arrays
 from driftgate.functions.hyperbola import hyperbola_score
 from driftgate.functions.keys import PRIME, SketchShape, pair_key, site_of
-from driftgate.operators import accumulators, counters, logs, ordering, profiles, sketch, vectors, windows, zones
+from driftgate.operators import accumulators, counters, logs, ordering, packed, profiles, sketch, vectors, windows, zones
 from driftgate.plans.gate import GateConfig, monitor, slot_deltas, throughput
 from driftgate.plans.spec import ExactF2, SketchF2
 from driftgate.session import WorkArea
@@ -233,6 +233,14 @@ def sketch_cells(spark, folder):
     return sketch.build(events(spark, folder), ("site",), SHAPE)
 
 
+@query
+def sketch_packed(spark, folder):
+    """Built packed from spread events, day by day, and merged to one sketch a site without unpacking on the way."""
+    hits = sketch.spread(windows.with_slot(events(spark, folder), DAY).select("site", "slot", "x", "val"), SHAPE)
+    daily = packed.pack(hits, ("site", "slot"), SHAPE)
+    return packed.unpack(packed.merge(daily.select("site", "packed"), ("site",)), ("site",), SHAPE)
+
+
 @query
 def sketch_add(spark, folder):
     s = sketch.build(events(spark, folder), ("site",), SHAPE)
