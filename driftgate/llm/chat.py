@@ -4,7 +4,9 @@ For each participant the whole dialogue is rendered with that speaker as the ass
 user. ``mask`` lists the character ranges that a loss should cover: the speaker's own text with its end mark.
 
 A dialogue of any length comes in parts of at most ``PART_TURNS`` turns: concatenated in order of ``part`` they are the
-dialogue, and mask ranges count from its beginning. So no task ever holds more than one part of one view.
+dialogue, and mask ranges count from its beginning. Where a part begins follows from the lengths of the parts before it, so
+texts meet a part at a time and only lengths go through a view's whole order; rows of one dialogue with null or equal turn
+numbers are ordered together.
 
 Defined cases: turns are ordered by number, then name and text, null numbers last; repeated rows stay; a null role is
 named ``unknown``; a null text is empty; rows with a null ``conv_id`` form one dialogue; the mark ``<|`` inside texts
@@ -41,18 +43,35 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         turns.withColumn("nth", F.row_number().over(order))
         .withColumn("piece", piece)
         .groupBy("conv_id", "stretch", "piece")
-        .agg(F.sort_array(F.collect_list(F.struct("nth", "name", "body"))).alias("turns"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("nth", "name", "body"))).alias("turns"),
+            F.sum(F.length(_head(F.col("name"), False)) + F.length("body") + len(CLOSE)).alias("length"),
+        )
     )
     speakers = turns.select("conv_id", F.col("name").alias("speaker")).distinct()
-    views = (
-        parts.alias("p")
-        .join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id")))
-        .select("p.conv_id", "s.speaker", "p.stretch", "p.piece", "p.turns")
-    )
 
     def own(t):
         return t["name"] == F.col("speaker")
 
+    # where each part of each view begins, from lengths alone: no text goes through this window
+    lead = len(f"{OPEN}assistant\n")
+    shorter = F.length(_head(F.col("speaker"), False)) - lead
+    lengths = parts.join(speakers.withColumnRenamed("conv_id", "whose"), F.col("conv_id").eqNullSafe(F.col("whose"))).select(
+        "conv_id", "speaker", "stretch", "piece", (F.col("length") - F.size(F.filter("turns", own)) * shorter).alias("length")
+    )
+    running = W.partitionBy("conv_id", "speaker").orderBy(F.col("stretch").asc_nulls_last(), "piece")
+    before = F.sum("length").over(running.rowsBetween(W.unboundedPreceding, -1))
+    places = lengths.select(
+        F.col("conv_id").alias("whose"),
+        "speaker",
+        F.col("stretch").alias("at_stretch"),
+        F.col("piece").alias("at_piece"),
+        F.coalesce(before, F.lit(0)).alias("start"),
+        (F.row_number().over(running) - 1).alias("part"),
+    )
+    same = [("conv_id", "whose"), ("stretch", "at_stretch"), ("piece", "at_piece")]
+    views = parts.join(places, [F.col(x).eqNullSafe(F.col(y)) for x, y in same])
+
     segments = F.transform(
         "turns",
         lambda t: F.struct(
@@ -65,11 +84,6 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     views = views.withColumn("segments", segments).withColumn(
         "rendered", F.array_join(F.transform("segments", lambda x: x["segment"]), "")
     )
-    running = W.partitionBy("conv_id", "speaker").orderBy(F.col("stretch").asc_nulls_last(), "piece")
-    before = F.coalesce(
-        F.sum(F.length("rendered")).over(running.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
-    lead = len(f"{OPEN}assistant\n")
     walked = F.aggregate(
         "segments",
         F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask")),
@@ -90,18 +104,14 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
             .alias("mask"),
         ),
     )
-    return (
-        views.withColumn("start", before)
-        .withColumn("part", F.row_number().over(running) - 1)
-        .select(
-            "conv_id",
-            "speaker",
-            "part",
-            F.size("turns").alias("n_turns"),
-            "start",
-            "rendered",
-            walked["mask"].alias("mask"),
-        )
+    return views.select(
+        "conv_id",
+        "speaker",
+        "part",
+        F.size("turns").alias("n_turns"),
+        "start",
+        "rendered",
+        walked["mask"].alias("mask"),
     )
 
 

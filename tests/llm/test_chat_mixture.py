@@ -132,3 +132,23 @@ def test_splitting_tree_quotas():
     assert quotas.sum(0).tolist() == counts
     assert quotas.sum(1).max() - quotas.sum(1).min() <= 1
     assert (mixture.split(counts, 8, 1) == quotas).all()
+
+
+def test_texts_stay_out_of_the_views_order(spark):
+    """A dialogue with most rows: what is sorted for a whole view carries no text."""
+    rows = [(1, t, f"p{t % 3}", f"Text {t}.") for t in range(900)] + [(2, t, "user", "x") for t in range(50)]
+    out = chat.rotate(spark.createDataFrame(rows, CONV), part_turns=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "speaker" in line]
+    assert windows and not any("body" in line or "turns" in line or "rendered" in line for line in windows)
+    got = joined_parts(out)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in plain_rotation(rows).items()}
+
+
+def joined_parts(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r.part):
+        text, mask = out.get((r.conv_id, r.speaker), ("", []))
+        assert r.start == len(text)
+        out[r.conv_id, r.speaker] = text + r.rendered, mask
+    return out
