@@ -226,3 +226,66 @@ def test_annotate_cases(spark):
     hit = (3, "[email] and [email]", 2, "email:0:5,email:10:20")
     assert got == sorted([(1, None, 0, ""), (2, "", 0, ""), hit, hit, (0, "no", 0, "")], key=str)
     assert pii.annotate(df.limit(0)).count() == 0
+
+
+# -- the classifier's query against plain loops
+
+
+def plain_fit(texts, grades, seed=3):
+    """The cumulative-link fit, one text, one slot and one threshold at a time."""
+    import pyarrow as pa
+
+    # numpy's exponential: the last bit decides whether slopes cancel, and a slot without a slope is not shrunk
+    sigmoid = lambda x: float(1 / (1 + np.exp(np.clip(np.array([-x]), -500, 500)))[0])
+    slots = [ordinal.features(pa.array([t]))[0].tolist() for t in texts]
+    share = [(sum(g <= j for g in grades) + j + 1) / (len(grades) + ordinal.GRADES) for j in range(ordinal.GRADES - 1)]
+    cuts, cut_seen = [math.log(s / (1 - s)) for s in share], [1e-6] * (ordinal.GRADES - 1)
+    weights, seen = {}, {}
+    rng = np.random.default_rng(seed)
+    for _ in range(ordinal.EPOCHS):
+        order = rng.permutation(len(texts)).tolist()
+        for at in range(0, len(order), ordinal.BATCH):
+            rows = order[at : at + ordinal.BATCH]
+            grad, g = {}, [0.0] * len(cuts)
+            edge = [-math.inf, *cuts, math.inf]
+            for i in rows:
+                level, y = sum(weights.get(s, 0.0) for s in slots[i]), grades[i]
+                high, low = sigmoid(edge[y + 1] - level), sigmoid(edge[y] - level)
+                p = max(high - low, 1e-9)
+                up, down = high * (1 - high) / p, low * (1 - low) / p
+                for s in slots[i]:
+                    grad[s] = grad.get(s, 0.0) + (up - down) / len(rows)
+                if y < ordinal.GRADES - 1:
+                    g[y] -= up / len(rows)
+                if y > 0:
+                    g[y - 1] += down / len(rows)
+            for s, d in grad.items():
+                if d == 0:
+                    continue
+                seen[s] = seen.get(s, 1e-6) + d * d
+                step = ordinal.RATE / math.sqrt(seen[s])
+                moved = weights.get(s, 0.0) - step * d
+                weights[s] = math.copysign(max(abs(moved) - step * ordinal.L1, 0.0), moved)
+            for j, d in enumerate(g):
+                cut_seen[j] += d * d
+                cuts[j] -= ordinal.RATE * d / math.sqrt(cut_seen[j])
+            for j in range(1, len(cuts)):
+                cuts[j] = max(cuts[j] + j * 1e-9, cuts[j - 1])
+    return weights, cuts
+
+
+def test_quality_query_equals_plain_loops(spark):
+    import pyarrow as pa
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    grades = {r.doc_id: r.grade for r in ordinal.graded(spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
+    known = sorted(set(docs) & set(grades))
+    weights, cuts = plain_fit([docs[i] for i in known], [grades[i] for i in known])
+    out = all_queries()["op5_quality"](spark, SMALL).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    for r in out:
+        level = sum(weights.get(s, 0.0) for s in ordinal.features(pa.array([docs[r.doc_id]]))[0].tolist())
+        tails = [1 / (1 + math.exp(c - level)) for c in cuts]
+        assert r.level == pytest.approx(level, abs=1e-4)
+        assert (r.p_safe, r.p_good, r.expected_grade) == pytest.approx((*tails, sum(tails)), abs=1e-4)
+        assert abs(r.p_good - ordinal.KEEP) < 1e-4 or r.keep == (tails[1] >= ordinal.KEEP)
