@@ -317,3 +317,19 @@ def test_overfull_orders_take_no_part(monkeypatch):
     right = lambda table: np.mean((urls._scores(table, held) >= 0) == np.array(fresh))
     table = urls.sound(raw.copy())
     assert not table[:, -1].any() and table[:, 1].any() and right(table) > 0.9 and right(table) >= right(raw) - 0.01
+
+
+def test_all_orders_count_at_every_size(spark):
+    """Over 131,072 distinct contexts in an order: scores are still those of exact counts of every order."""
+    rng = random.Random(11)
+    texts = [f"http://{'com' if i % 2 else 'net/es'}/" + "".join(rng.choices("abcdefghij0123456789", k=60)) for i in range(5000)]
+    texts += [f"http://a.org/{t[12:50]}" for t in texts[:200]]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id bigint, url string")
+    fold = {r.page_id: r.fold for r in pages.select("page_id", F.pmod(F.xxhash64("url"), urls.FOLDS).alias("fold")).collect()}
+    learnt = [(t, plain_rule(t)[2][1]) for i, t in enumerate(texts) if plain_rule(t)[2] and fold[i]]
+    yes, no = (PlainModel([t for t, v in learnt if v == side]) for side in ("allow", "block"))
+    assert sum(len(key[1]) == urls.ORDER for key in yes.n) > 1 << 17
+    got = {r.page_id: r.score for r in urls.judge(pages).collect()}
+    assert len(got) == len(texts)
+    for i in [*range(0, 5000, 50), *range(5000, 5200)]:
+        assert got[i] == pytest.approx(yes.mean_log(texts[i]) - no.mean_log(texts[i]), abs=1e-9)
