@@ -24,6 +24,8 @@ from driftgate.session import WorkArea
 
 LAMBDA = 0.5
 BLOCK_SLOTS = 256
+#: Up to so many blocks are written by the tasks that summed them, each task a file a block; more are gathered by block first.
+BLOCKS_SPREAD = 16
 #: Rows of a look-ahead's series: sites times slots.
 SERIES_ROWS = 1_000_000
 #: Up to so many the driver replays them itself.
@@ -385,6 +387,17 @@ class MonitorResult:
     scalars: int  # numbers that reached the driver
 
 
+def by_block(deltas: DataFrame, slotted: DataFrame) -> DataFrame:
+    """Deltas with their ``block`` of slots, to be written by block.
+
+    A task sorts what it writes, so few blocks stay dealt by cell; gathering them by block would leave all to a few tasks.
+    """
+    first, last = slotted.agg(F.min("slot"), F.max("slot")).first()
+    blocks = 0 if first is None else last // BLOCK_SLOTS - first // BLOCK_SLOTS + 1
+    named = deltas.withColumn("block", F.expr(f"floor(slot / {BLOCK_SLOTS})"))
+    return named if blocks <= BLOCKS_SPREAD else named.hint("rebalance", "block")
+
+
 def throughput(slotted: DataFrame, slide_ms: int, clock: Column | None = None) -> DataFrame:
     """Cumulative source events per site and slot, at most one row per slot of a site.
 
@@ -422,8 +435,7 @@ def monitor(
     work = WorkArea(spark, "gate")
     slotted = with_slot(events, slide_ms)
     n_slots = slots_per_window(window_ms, slide_ms) if window_ms else None
-    deltas = slot_deltas(spec, slotted, n_slots).withColumn("block", F.expr(f"floor(slot / {BLOCK_SLOTS})"))
-    stored = work.save(deltas.hint("rebalance", "block"), "deltas", partition_by="block")
+    stored = work.save(by_block(slot_deltas(spec, slotted, n_slots), slotted), "deltas", partition_by="block")
     last, cells = stored.agg(F.max("slot"), F.count(F.lit(1))).first()
     gate = Gate(spec, GateConfig(k, slide_ms, warmup_ms, mqf, rebalance, lookahead), work)
     if last is not None:
