@@ -135,6 +135,19 @@ def graded(labels: DataFrame) -> DataFrame:
     )
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model fitted to all rows of a task, in order of their ids; nothing without rows."""
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    slots = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["slots"]]
+    model = fit([slots[i] for i in order], rows["grade"].to_numpy()[order])
+    out = [pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.cuts)]
+    yield pa.RecordBatch.from_arrays(out, names=["weights", "cuts"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` labelled documents; None without any."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -155,16 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         .mapInArrow(sparse, "slots binary, grade int, doc_id bigint")
         .groupBy("doc_id")
         .agg(F.min("slots").alias("slots"), F.min("grade").alias("grade"))
-        .toArrow()  # the bounded sample, as numbers
+        .coalesce(1)  # the bounded sample, as numbers, meets in a task; the driver gets the model only
+        .mapInArrow(_learn, "weights binary, cuts binary")
+        .collect()
     )
-    if not len(rows):
+    if not rows:
         return None
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    slots = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["slots"]]
-    model = fit([slots[i] for i in order], rows["grade"].to_numpy()[order])
-    del rows, slots  # the driver gives the sample's memory back at once
-    pa.default_memory_pool().release_unused()
-    return model
+    return Model(np.frombuffer(rows[0]["weights"], np.float32), np.frombuffer(rows[0]["cuts"], np.float64))
 
 
 def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:

@@ -333,3 +333,21 @@ def test_all_orders_count_at_every_size(spark):
     assert len(got) == len(texts)
     for i in [*range(0, 5000, 50), *range(5000, 5200)]:
         assert got[i] == pytest.approx(yes.mean_log(texts[i]) - no.mean_log(texts[i]), abs=1e-9)
+
+
+def test_quality_is_learnt_in_a_task(spark, monkeypatch):
+    """The sample's features never reach the driver, and the model is that of a plain fit."""
+    import pyarrow as pa
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    grades = {r.doc_id: r.grade for r in ordinal.graded(labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in grades}
+    slots = [ordinal.features(pa.array([texts[i]]))[0] for i in sorted(texts)]
+    plain = ordinal.fit(slots, np.array([grades[i] for i in sorted(texts)]))
+
+    def here(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(ordinal, "fit", here)
+    model = ordinal.train(docs, labels)
+    assert np.array_equal(model.weights, plain.weights) and np.array_equal(model.cuts, plain.cuts)
