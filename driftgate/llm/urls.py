@@ -195,7 +195,8 @@ def scored(rows: DataFrame, model: DataFrame, area: WorkArea, name: str) -> Data
     stored = area.save(rows.mapInArrow(_chunked, f"{fields}, chunk bigint"), name)
     # a key is asked for at most once by a chunk and batch
     asked = stored.select("url", "chunk").mapInArrow(_asked, "chunk bigint, key bigint")
-    answers = asked.join(model, "key")
+    # sorted and merged: sizes are guessed from the stored URLs, which are far smaller than their keys, and a broadcast passes the driver
+    answers = asked.join(model.hint("merge"), "key")
     kept = [c for c in rows.columns if c != "url"]
 
     def judge_chunk(texts: pa.Table, found: pa.Table) -> pa.Table:
